@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, decontam, sharding, simhash, warc, wavelet
+from . import ann, bpe_count, chat, decontam, sharding, simhash, warc, wavelet
 from .common import table, written
 
 
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -46,7 +50,7 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op4_chat, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """

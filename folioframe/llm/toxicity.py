@@ -21,16 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: labelled rows of each class, and characters of each that training looks at.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1800, 5000, 20_000
+TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1500, 4500, 20_000
 #: Words of a window; bytes of the toxic and of the ordinary dictionary; compression level.
-WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8, 1500, 24_576, 12
+WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8, 3000, 24_576, 12
 #: Gains that are counted, and lengths of the character runs that tell toxic words.
-THRESHOLDS, RUNS = range(2, 10), (4, 5, 6)
+THRESHOLDS, RUNS = range(1, 10), (5, 6, 7, 8, 9)
+#: Follows every window that is measured: a long run packs to a few bytes, so that the window is never
+#: stored as it is because packing it alone would save too little.
+FILL = b"\n" * 64
 #: A run tells if its share of toxic texts is so much larger than that of ordinary ones, and at least that large.
-RATIO, SHARE = 20, 0.008
+RATIO, SHARE = 20, 0.015
 
 
-def windows(text: str | None, width: int = WINDOW) -> list[bytes]:
+def windows(text: str | None) -> list[bytes]:
+    width = WINDOW
     words = text.lower().split() if text else []
     return [(" " + " ".join(words[i : i + width])).encode() for i in range(0, len(words), width)]
 
@@ -56,10 +60,10 @@ class Model:
 
     def features(self, text: str | None, packers) -> list[float]:
         plain, toxic = packers[0].compress, packers[1].compress
-        gains = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)] or [0])
+        gains = np.array([len(plain(w + FILL)) - len(toxic(w + FILL)) for w in windows(text)] or [0])
         n, counts = len(gains), [int((gains >= t).sum()) for t in THRESHOLDS]
         top = [*np.sort(gains)[::-1][:3].tolist(), 0, 0][:3]
-        return [1.0, math.log(n), *(math.log1p(c) for c in counts), *(c / n for c in counts), *(min(t, 15) for t in top)]
+        return [1.0, math.log(n), *(math.log1p(c) for c in counts), *(c / n for c in counts), float(np.maximum(gains, 0).mean()), *(min(t, 15) for t in top)]
 
     def scores(self, texts: list[str | None], packers) -> np.ndarray:
         if self.weights is None:

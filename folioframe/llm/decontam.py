@@ -136,3 +136,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of docs(doc_id, text, ...) that are not contaminated, all columns. A row is known by its id (null too) and a hash of its text."""
+    bad = contamination(docs, benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    return docs.join(written(bad, "decontam-dropped"), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, chat, decontam, sharding, simhash, toxicity, warc, wavelet
+from . import ann, bpe_count, chat, decontam, sharding, simhash, toxicity, unigram, warc, wavelet
 from .common import table, written
 
 
@@ -31,6 +31,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.conversations(messages)))
 
 
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op5_unigram, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """

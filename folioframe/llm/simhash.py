@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import golay
 from .common import written
@@ -149,7 +150,8 @@ def link_fingerprints(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
-    """fps(doc_id, fp, ...) with component_id: the least doc_id reachable over fingerprints within MAX_BITS.
+    """fps(doc_id, fp, ...) with component_id: the least doc_id reachable over fingerprints within MAX_BITS,
+    and _c, a label of the component that is never null.
 
     Equal fingerprints are one node from the start, so copies make no pairs. Rows with a null doc_id have the
     component of their fingerprint but never name one (null if none of its rows has an id). Repeated rows all stay.
@@ -162,7 +164,7 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"), "_id")
     labelled = written(labelled, "simhash-labels")
     named = labelled.groupBy("_c").agg(F.min("_id").alias("component_id"))
-    return fps.join(labelled.join(named, "_c").select("fp", "component_id"), "fp", "left")
+    return fps.join(labelled.join(named, "_c").select("fp", "_c", "component_id"), "fp", "left")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -173,3 +175,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     fps = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "simhash-fps")
     return near_duplicates(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The row of the least doc_id (null last, then the first row) of each component of docs(doc_id, text, ...), all columns.
+
+    Fingerprints are written beside the rows with a number for each row, so that rows are told apart even where ids repeat;
+    what is dropped, the smaller part, is joined away.
+    """
+    row, fp = (next(n for n in (name + "_" * i for i in range(99)) if n not in docs.columns) for name in ("_row", "_fp"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
+
+    stored = written(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    labelled = near_duplicates(stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row")))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    best = labelled.groupBy("_c").agg(F.min(order)["row"].alias("kept"))
+    dropped = labelled.join(best, "_c").filter("row <> kept").select(F.col("row").alias(row))
+    return stored.join(written(dropped, "simhash-dropped"), row, "left_anti").select(*docs.columns)

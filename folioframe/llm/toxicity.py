@@ -196,3 +196,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) of every row; repeated rows all stay, an empty table gives none."""
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs(text, ...) with a score below 0.5, all columns as they are. One pass without shuffle."""
+    packed = pickle.dumps(model)
+
+    def run(batches):
+        if packed not in _PACKERS:
+            _PACKERS.clear()
+            _PACKERS[packed] = (own := pickle.loads(packed), own.compressors() if own.weights is not None else None)
+        own, packers = _PACKERS[packed]
+        for batch in batches:
+            yield batch.filter(pa.array(own.scores(batch.column("text").to_pylist(), packers) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 """All registered queries with their SQL twins."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from .archive import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "parish_rollup"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

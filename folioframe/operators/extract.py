@@ -31,7 +31,7 @@ def extract_records(rows: DataFrame, keys: list[str], predictor: Predictor = fir
         except Exception:  # noqa: BLE001  an external model may fail in any way: the batch then has no rows
             answers = []
         out = pdf.head(len(answers))[[*keys, "row"]].copy()
-        out["extracted_data"] = answers[: len(out)]
+        out["extracted_data"] = pd.Series(answers[: len(out)], index=out.index, dtype=object)
         return out
 
     return batches(rows, keys, "row", batch).groupBy(*keys, "batch").applyInPandas(run, f"{types}, row int, extracted_data map<string,string>")

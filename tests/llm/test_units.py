@@ -1,0 +1,209 @@
+"""Parts of the operators that need no Spark, against brute force, libraries and round trips."""
+
+import io
+import random
+import zipfile
+from array import array
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from folioframe.llm import ann, bpe_count, common, golay, sharding, simhash, toxicity, unigram, warc, wavelet
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ALPHABET = list("ab c\n\t\r  '’s're12½é漢字😀\x1c\x85​.,!_ABC") + ["<|endoftext|>", "  ", "'ll", "\n\n"]
+texts = st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts)
+def test_token_counts_and_ids(library_text):
+    from tokenizers import Tokenizer
+
+    want = test_token_counts_and_ids.__dict__.setdefault("library", Tokenizer.from_file(BPE)).encode(library_text, add_special_tokens=False).ids
+    assert bpe_count.counter(BPE).count(library_text) == len(want)
+    assert list(array("I", wavelet.encoder(BPE).encode(library_text))) == want
+
+
+def test_long_piece(library):
+    for text in ("a" * 5000, "ab" * 4000, "é" * 3000, " " * 700):
+        assert bpe_count.counter(BPE).count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert bpe_count.counter(BPE).count(None) == bpe_count.counter(BPE).count("") == 0
+
+
+def test_cache_stays_bounded():
+    cache = common.BoundedCache(len, limit=10, longest=3)
+    for i in range(100):
+        assert cache[str(i)] == len(str(i))
+    assert cache["longer"] == 6 and "longer" not in cache and len(cache) <= 10
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 300_000])
+def test_wavelet(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.geometric(0.01, n), 50_256).astype("<u4")
+    out = io.BytesIO()
+    wavelet.write_shard(out, [5, None], [n, 0], ids, 16)
+    shard = wavelet.WaveletFile(out)
+    assert (shard.all_ids() == ids).all() and shard.documents()[0] == [5, None]
+    for i in rng.integers(0, n, 20):
+        token = int(ids[i])
+        places = np.flatnonzero(ids == token)
+        assert shard.access(int(i)) == token and shard.count(token) == len(places)
+        k = int(rng.integers(0, len(places)))
+        assert shard.occurrence(token, k) == places[k] and shard.count(token, 0, int(i)) == (places < i).sum()
+    assert shard.count(60_000) == 0
+    with pytest.raises(IndexError):
+        shard.occurrence(60_000, 0)
+
+
+def test_golay_keys():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 23, 2000)
+    own = golay.keys(words)
+    for distance in (0, 1, 2):
+        other = words.copy()
+        for bits in (rng.permutation(23)[:distance] for _ in range(1)):
+            for b in bits:
+                other ^= 1 << int(b)
+        assert all(set(a[a >= 0]) & set(b[b >= 0]) for a, b in zip(own, golay.keys(other)))
+
+
+def test_fuzzy_keys_meet_within_three_bits():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 62, 3000, dtype=np.int64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+            b[i] = np.int64(np.uint64(b[i]) ^ (np.uint64(1) << np.uint64(bit)))
+    groups = [{}, {}]
+    for keys, fps in zip(groups, (a, b)):
+        for i, k in zip(*simhash.fuzzy_keys(fps)):
+            keys.setdefault(i, set()).add(k)
+    assert all(groups[0][i] & groups[1][i] for i in range(len(a)))
+
+
+def brute_fingerprint(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    for c in "\t\n\r\x0b\x0c":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "É", "\x85", "\xa0", " ", "\t", "\x0b", "\x1c", "xyz"]), max_size=30).map("".join))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_fingerprint_of_long_text():
+    text = " ".join(random.Random(1).choices(["Anna", "Maria", "x", "turku"], k=40_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+
+
+def test_bucket_links_are_components():
+    rng = np.random.default_rng(4)
+    fps = (rng.integers(0, 1 << 8, 200, dtype=np.int64)).astype(np.int64)
+    fps = np.unique(fps)
+    links = simhash.bucket_links(fps, np.arange(len(fps)))
+    assert len(links) == len(fps) - 1 and {b for _, b in links} == {0}
+
+
+def test_zip():
+    for wide in (False, True):
+        out = io.BytesIO()
+        warc.write_zip(out, [("a", b"hello"), ("dir/ü", b""), ("b", b"x" * 1000)], wide)
+        assert zipfile.ZipFile(io.BytesIO(out.getvalue())).testzip() is None
+        index = warc.ZipIndex(out, len(out.getvalue()))
+        assert index.read("a") == b"hello" and index.read("b", 990, 3) == b"xxx" and index.read("dir/ü") == b""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        with z.open(zipfile.ZipInfo("q"), "w", force_zip64=True) as f:
+            f.write(b"abc")
+        z.writestr("packed", "x" * 99, zipfile.ZIP_DEFLATED)
+        z.comment = b"PK\5\6 in a comment"
+    index = warc.ZipIndex(out, len(out.getvalue()))
+    assert index.read("q") == b"abc"
+    with pytest.raises(ValueError):
+        index.read("packed")
+    with pytest.raises(ValueError):
+        warc.ZipIndex(io.BytesIO(b"no archive"), 10)
+
+
+def test_record_round_trip():
+    raw = warc.record(7, "http://a/\nb", "é\r\n\r\nx".encode(), "aa" * 20, 9)
+    fields, block = warc.parse_record(raw)
+    assert warc.page_of(fields, block) == (7, "http://a/%0Ab", 7, "aa" * 20, "revisit", 9, None)
+    with pytest.raises(ValueError):
+        warc.page_of(*warc.parse_record(warc.record(7, None, b"x", "aa" * 20, None)))
+
+
+def test_permutation_is_uniform():
+    seen = {tuple(sharding.fisher_yates(3, (s,))) for s in range(200)}
+    assert len(seen) == 6 and sorted(sharding.fisher_yates(50, (1,))) == list(range(50))
+
+
+def test_unigram_against_the_library():
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    proto = pb.ModelProto()
+    with open(PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = max(p.score, -40_000.0)  # single precision in the library loses what is small beside a billion
+    kinds = {2: "unknown", 3: "control", 6: "byte"}
+    own = unigram.Unigram([(p.piece, p.score, kinds.get(p.type, "normal")) for p in proto.pieces])
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "b", " ", "▁", "é", "漢", "😀", "\x00", "\n", "the", "ing", "  "], k=rng.randint(0, 20)))
+        assert list(array("I", own.encode(text))) == library.encode(text)
+        assert own.decode(own.encode(text)) == text.replace("▁", " ")
+
+
+def test_trie_and_unknowns_without_bytes():
+    own = unigram.Unigram([("<unk>", 0.0, "unknown"), ("a", -1.0, "normal"), ("ab", -1.5, "normal"), ("b", -1.0, "normal"), ("▁", -3.0, "normal")])
+    assert [end for end, _ in own.trie.prefixes(b"abc", 0)] == [1, 2] and own.trie.prefixes(b"c", 0) == []
+    assert list(array("I", own.encode("abxya"))) == [4, 2, 0, 1]
+
+
+def test_tree_search_visits_all_leaves():
+    x = ann._unit(np.random.default_rng(3).normal(size=(500, 8)))
+    tree = ann.fit(x, leaf=20, branch=4)
+    assert sorted(tree.visit(x[0])) == list(range(tree.leaves)) and next(tree.visit(x[0])) == tree.assign(x[:1])[0]
+    assert 1 <= ann.calibrate(tree, x, 5, 0.9) <= tree.leaves
+
+
+def test_toxicity_separates():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices(["th", "er", "on", "an", "re", "ti"], k=rng.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(120)) for _ in range(240)]
+    toxic = []
+    for _ in range(160):
+        words = [word() for _ in range(120)]
+        for at in rng.sample(range(120), 4):
+            words[at] = rng.choice(["stupid", "worthless", "disgusting"])
+        toxic.append(" ".join(words))
+    model = toxicity.fit(toxic[:120], plain[:180])
+    packers = model.compressors()
+    assert (model.scores(toxic[120:], packers) >= 0.5).mean() > 0.9 and (model.scores(plain[180:], packers) >= 0.5).mean() < 0.1
+    assert len(model.scores([None, "", "word " * 50_000], packers)) == 3
+    assert toxicity.fit([], plain).scores(["x"], None).tolist() == [0.0]

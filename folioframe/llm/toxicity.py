@@ -30,7 +30,7 @@ THRESHOLDS, RUNS = range(1, 10), (5, 6, 7, 8, 9)
 #: stored as it is because packing it alone would save too little.
 FILL = b"\n" * 64
 #: A run tells if its share of toxic texts is so much larger than that of ordinary ones, and at least that large.
-RATIO, SHARE = 20, 0.015
+RATIO, SHARE = 20, 0.03
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -79,16 +79,18 @@ def _runs(word: str) -> set[str]:
 
 def telling_runs(toxic: list[str], ordinary: list[str]) -> set[str]:
     """Character runs of words that are far more frequent in toxic than in ordinary texts."""
-    seen: dict[str, set[str]] = {}
+    least = max(3, SHARE * len(toxic))
+    # counts by hash first: an upper bound that tells which runs are worth an exact count, without holding all of them
+    upper, mask = np.zeros(1 << 20, np.int32), (1 << 20) - 1
+    for text in toxic:
+        upper[list({hash(r) & mask for w in set(text.lower().split()) for r in _runs(w)})] += 1
     counts: Counter = Counter()
     for text in toxic:
-        counts.update(set().union(*(seen.setdefault(w, _runs(w)) for w in set(text.lower().split()))))
-    least = max(3, SHARE * len(toxic))
+        counts.update({r for w in set(text.lower().split()) for r in _runs(w) if upper[hash(r) & mask] >= least})
     able = {r for r, c in counts.items() if c >= least}
     other: Counter = Counter()
-    seen = {}
     for text in ordinary:
-        other.update(set().union(*(seen.setdefault(w, _runs(w) & able) for w in set(text.lower().split()))))
+        other.update({r for w in set(text.lower().split()) for r in _runs(w) if r in able})
     return {r for r in able if counts[r] / len(toxic) > RATIO * (other[r] + 0.5) / len(ordinary)}
 
 

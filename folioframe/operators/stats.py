@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,13 @@ def mixtures(values: DataFrame, column: str, most: int, seed: int = 1) -> DataFr
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=[column], outputCol="features").transform(values.filter(F.col(column).isNotNull())).select("features")
-    n, rows = data.count(), []
-    for k in range(1, most + 1):
+    known = values.filter(F.col(column).isNotNull())
+    n, mean, variance = known.agg(F.count(F.lit(1)), F.avg(column), F.var_pop(column)).first()
+    # one component has a closed form
+    fits = [(1, -n / 2 * (math.log(2 * math.pi * max(variance, 1e-12)) + 1), [mean])] if n else []
+    data = VectorAssembler(inputCols=[column], outputCol="features").transform(known).select("features")
+    for k in range(2, most + 1 if n else 0):
         model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data)
-        free, log_likelihood = 3 * k - 1, model.summary.logLikelihood
-        import math
-
-        rows.append((k, 2.0 * free - 2 * log_likelihood, free * math.log(max(n, 1)) - 2 * log_likelihood, sorted(float(g.mean[0]) for g in model.gaussians)))
+        fits.append((k, model.summary.logLikelihood, sorted(float(g.mean[0]) for g in model.gaussians)))
+    rows = [(k, 2.0 * (3 * k - 1) - 2 * fit, (3 * k - 1) * math.log(n) - 2 * fit, means) for k, fit, means in fits]
     return values.sparkSession.createDataFrame(rows, "k int, aic double, bic double, means array<double>")

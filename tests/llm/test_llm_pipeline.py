@@ -44,7 +44,7 @@ def test_dedup_stage(stages):
 
 
 def test_decontamination_stage(spark, stages):
-    from test_operators import brute_contamination
+    from test_llm_operators import brute_contamination
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [(r.doc_id, r.text) for r in stages[2].collect()]

@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 class MergeCounter:
     """Counts of the tokens of whole texts under a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_limit: int = 400_000):
+    def __init__(self, path: str, cache_limit: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]

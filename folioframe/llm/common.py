@@ -98,7 +98,7 @@ class BoundedCache(dict):
     Keys longer than `longest` are computed each time, so memory stays bounded.
     """
 
-    def __init__(self, compute: Callable, limit: int = 400_000, longest: int = 64):
+    def __init__(self, compute: Callable, limit: int = 1_000_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_count import even_space
+from .bpe_count import byte_symbols, even_space
 from .common import BoundedCache, attempt_name, open_for_read, open_for_write, shared_path, written
 
 MAGIC = b"FOLIOWM1"
@@ -31,9 +31,10 @@ SHARD_IDS = 4_000_000
 
 def build(ids: np.ndarray, levels: int) -> list[tuple[np.ndarray, int]]:
     """Per level, from the highest bit: the plane (packed bits) and its zeros."""
-    planes, now = [], ids.astype(np.uint32)
+    kind = np.uint16 if levels <= 16 else np.uint32
+    planes, now = [], ids.astype(kind)
     for bit in range(levels - 1, -1, -1):
-        ones = (now >> np.uint32(bit) & np.uint32(1)).astype(bool)
+        ones = (now & kind(1 << bit)).astype(bool)
         low, high = now[~ones], now[ones]
         planes.append((np.packbits(ones, bitorder="little"), len(low)))
         now = np.concatenate([low, high])
@@ -103,12 +104,13 @@ class WaveletFile:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: the stable partitions are undone from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             ones, zeros = self._plane(level), self.planes[level]["zeros"]
             up = np.empty_like(now)
             up[~ones] = now[:zeros]
-            up[ones] = now[zeros:] | np.uint32(1 << (self.levels - 1 - level))
+            up[ones] = now[zeros:] | kind(1 << (self.levels - 1 - level))
             now = up
         return now
 
@@ -183,20 +185,33 @@ class LibraryEncoder:
     ids are remembered; any other text, and any with a special string, goes to the library whole.
     """
 
-    def __init__(self, path: str, cache_limit: int = 400_000):
+    def __init__(self, path: str, cache_limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.after_space = BoundedCache(lambda word: self.whole(" " + word), cache_limit)
+        self.symbols = byte_symbols()
+        self.after_space = BoundedCache(self.spaced, cache_limit)
         self.bare = BoundedCache(self.whole, cache_limit // 4)
         self.feed = self.whole("\n")
+        self.stops = {stop: self.whole(stop) for stop in ".,"}
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def spaced(self, word: str) -> bytes:
+        """Ids of a word after a space. Letters alone are one piece of the pattern, so the library's model takes them at
+        once; a full stop or comma behind letters is a piece of its own."""
+        if word.isalpha():
+            piece = "".join([self.symbols[b] for b in (" " + word).encode()])
+            return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if word[-1:] in self.stops and word[:-1].isalpha():
+            return self.after_space[word[:-1]] + self.stops[word[-1]]
+        return self.whole(" " + word)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""

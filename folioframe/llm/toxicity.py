@@ -20,8 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: labelled rows of each class, and characters of each that training looks at.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1500, 4500, 20_000
+#: Bounds of the training sample: labelled rows of each class, which are taken whole.
+TOXIC_ROWS, ORDINARY_ROWS = 1500, 4500
 #: Words of a window; bytes of the toxic and of the ordinary dictionary; compression level.
 WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8, 3000, 24_576, 12
 #: Gains that are counted, and lengths of the character runs that tell toxic words.
@@ -131,7 +131,6 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None, seed:
     told = [p for t in toxic[:n] for p in phrases(t, runs)]
     mixed = [b"".join(rng.choices(told, k=6)) for _ in range(4000)] if told else []
     plain = [w for t in ordinary[:m] for w in windows(t)]
-    plain = rng.sample(plain, min(len(plain), 60_000))
     model = Model(_dictionary(mixed, TOXIC_BYTES, 24, rng), _dictionary(plain, ORDINARY_BYTES, 64, rng))
     packers = model.compressors()
     x = np.array([model.features(t, packers) for t in toxic[n:] + ordinary[m:]])
@@ -154,8 +153,8 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Fits on at most toxic_rows + ordinary_rows labelled documents that are not held out, chosen by a hash of the id;
-    rows with null ids or labels do not count, an id with several labels has the largest."""
+    """Fits on the whole texts of at most toxic_rows + ordinary_rows labelled documents that are not held out, chosen by a hash of
+    the id; rows with null ids or labels do not count, an id with several labels has the largest, one with several texts the least."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
     sizes = dict(map(tuple, known.groupBy("_toxic").count().collect()))
     chosen = None
@@ -167,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
         return Model(b"", b"")
     # ids of the bounded sample only
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _toxic boolean"))
-    found = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("t")).join(few, "doc_id").filter("t IS NOT NULL").dropDuplicates(["doc_id"]).select("t", "_toxic").collect()
+    found = docs.select("doc_id", F.col("text").alias("t")).join(few, "doc_id").filter("t IS NOT NULL").groupBy("doc_id").agg(F.min("t").alias("t"), F.max("_toxic").alias("x")).select("t", "x").collect()
     odds = sizes.get(True, 0) / sizes[False] if sizes.get(False) else None
     return fit([t for t, x in found if x], [t for t, x in found if not x], odds)
 

@@ -51,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it of a URI or plain path (file, hdfs, s3, gs)."""
     if "://" not in uri:

@@ -128,6 +128,11 @@ class ZipIndex:
 # ---- WARC ------------------------------------------------------------------------------------
 
 
+def one_line(url: str) -> str:
+    """A url that stands in one line of a header or index."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -137,7 +142,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+        fields.append(("WARC-Target-URI", one_line(url)))
+        if one_line(url) != url:  # so that it reads back as it was
+            fields.append(("X-Target-URI-JSON", json.dumps(url)))
     if refers_to is not None:
         fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Truncated", "length")]
     lines = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -168,7 +175,8 @@ def page_of(fields: dict[str, str], block: bytes) -> tuple:
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     if fields["warc-type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged payload in {fields['warc-record-id']}")
-    return _page(fields["warc-record-id"]), fields.get("warc-target-uri"), n, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), payload if fields["warc-type"] == "response" else None
+    url = json.loads(fields["x-target-uri-json"]) if "x-target-uri-json" in fields else fields.get("warc-target-uri")
+    return _page(fields["warc-record-id"]), url, n, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), payload if fields["warc-type"] == "response" else None
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -186,7 +194,7 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of pages(page_id long, url, html) and returns the manifest (file, records, bytes).
 
-    Null html is an empty payload, a null url leaves the header out, a null page_id has an empty record id and
+    Null html is an empty payload, a null url leaves the header out (one with line ends is escaped there and kept whole beside it), a null page_id has an empty record id and
     refers to the page of its payload that has one. Repeated rows of the largest page_id are all responses. An
     empty table writes nothing. The manifest lists the files of finished tasks only.
     """
@@ -209,7 +217,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
             for page_id, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = record(page_id, url, (html or "").encode(), digest, refers)
                 entry = {"page": page_id, "offset": held, "length": len(raw), "filename": DATA}
-                lines.append(f"{(url or '-').replace(' ', '%20')} {DATE} {json.dumps(entry)}\n".replace("\r", "%0D"))
+                lines.append(f"{one_line(url or '-').replace(' ', '%20')} {DATE} {json.dumps(entry)}\n")
                 data.append(raw)
                 held += len(raw)
                 if held >= archive_bytes:
@@ -263,4 +271,5 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     files = manifest.count()
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return manifest.select("file").repartition(min(max(files, 1), 4096), "file").mapInArrow(run, schema)
+    # dealt in turn, not by a hash, so that no task gets several archives while others get none
+    return manifest.select("file").repartition(min(max(files, 1), 4096)).mapInArrow(run, schema)

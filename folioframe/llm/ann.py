@@ -1,16 +1,20 @@
 """Nearest neighbours by cosine over a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample of directions; every vector is put into a leaf. A query keeps a
-priority queue of subtrees by the closeness of their centres and opens the closest one until it has visited as many leaves as
-calibration found necessary. Only found vectors are scored, exactly, in double precision.
+The upper levels are fitted on a bounded sample of directions; where the table is larger, the lower levels are fitted
+cell by cell in tasks, each on a bounded sample of its own, so that leaves stay small as the table grows. Every vector is
+put into a leaf. A query keeps a priority queue of subtrees by the closeness of their centres and opens the closest one until it
+has visited as many leaves as calibration found necessary, and until these hold enough candidates. Only found
+vectors are scored: in blocks first, and those that can be among the best exactly, in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +23,12 @@ from .common import written
 
 #: Bounds of the fit: vectors in the sample, rows per leaf of the sample, branches per node, sample rows used as queries.
 SAMPLE, LEAF, BRANCH, PROBES = 40_000, 300, 16, 300
+#: Sample of one cell for the levels below it, at most; with fewer rows per cell than LEAF there are none.
+CELL_SAMPLE = 12_000
 #: Recall that calibration asks for on the sample; the contract asks for 0.9.
 RECALL = 0.96
-#: Rows of one leaf that one task scores at once; larger leaves are dealt in chunks.
-CHUNK = 4096
+#: Rows of one leaf that one task scores at once; larger leaves are dealt in chunks. Queries scored with them at once.
+CHUNK, BLOCK = 4096, 512
 
 
 @dataclass
@@ -93,6 +99,27 @@ def fit(sample: np.ndarray, leaf: int = LEAF, branch: int = BRANCH, seed: int =
     return tree
 
 
+def graft(tree: Tree, below: dict[int, Tree]) -> Tree:
+    """The tree with some leaves replaced by trees of their own; leaves are numbered anew."""
+    out = Tree()
+
+    def copy(source: Tree, node: int) -> int:
+        if source is tree and source.centres[node] is None and source.leaf[node] in below:
+            return copy(below[source.leaf[node]], 0)
+        at = len(out.children)
+        out.children.append([])
+        out.centres.append(source.centres[node])
+        out.leaf.append(-1)
+        if source.centres[node] is None:
+            out.leaf[at], out.leaves = out.leaves, out.leaves + 1
+        else:
+            out.children[at] = [copy(source, child) for child in source.children[node]]
+        return at
+
+    copy(tree, 0)
+    return out
+
+
 def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL, probes: int = PROBES, seed: int = 7) -> int:
     """Leaves to visit: widened until the mean share of the k true neighbours (in the sample) that lie in visited leaves is `recall`."""
     if len(sample) <= 1 or tree.leaves <= 1:
@@ -112,7 +139,8 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL, pr
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -126,30 +154,55 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
+def _deepen(tree: Tree, entries: DataFrame, n: int, seed: int) -> Tree:
+    """Fits the levels below the leaves of a tree that the whole sample made, on at most CELL_SAMPLE rows of each leaf."""
+    top = entries.sparkSession.sparkContext.broadcast(tree)  # about SAMPLE / LEAF centres
+    # leaves of LEAF rows of the table are wanted; of a cell, as many rows are read as that takes
+    wanted = int(min(CELL_SAMPLE, n / tree.leaves))
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(top.value.assign(_unit(_matrix(batch.column(0))))), batch.column(0)], ["cell", "v"])
+
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("v", F.lit(seed + 1)), "v")
+    placed = entries.select("v").mapInArrow(place, "cell long, v array<double>")
+    some = placed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= wanted).drop("_r")
+
+    def grow(key, rows):
+        x = _unit(np.array(rows["v"].tolist(), dtype=np.float64))
+        return pd.DataFrame({"cell": [key[0]], "tree": [pickle.dumps(fit(x, seed=seed))]})
+
+    fitted = some.groupBy("cell").applyInPandas(grow, "cell long, tree binary").collect()  # SAMPLE * CELL_SAMPLE / LEAF^2 centres at most
+    return graft(tree, {r.cell: pickle.loads(r.tree) for r in fitted})
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose vec_id is divisible by `every`.
 
-    vectors(vec_id, embedding): null ids and unusable vectors take no part; ids are unique and repeated rows of one id
-    with one vector count once; vectors of another length than the most frequent one raise an error; an empty table
-    gives no rows. Equal vectors are one entry with the k + 1 smallest ids, which is all that any query can need, so
-    a hot vector makes no pairs; a leaf of many rows is scored in chunks.
+    vectors(vec_id, embedding): null ids and unusable vectors take no part, nor do vectors of another length than the most
+    frequent one (of equally frequent ones the longest); ids are unique and repeated rows of one id with one vector count
+    once; an empty table gives no rows. Equal vectors are one entry with the k + 1 smallest ids, which is all that any
+    query can need, so a hot vector makes no pairs; a leaf of many rows is scored in chunks. Every query gets k answers
+    if there are as many candidates. The order of the input does not matter.
     """
     spark = vectors.sparkSession
+    fine = usable(vectors)
+    lengths = fine.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fine = fine.filter(F.size("v") == lengths[0].d)
     # per task k + 1 ids of a vector at most go to the shuffle
     order = Window.partitionBy("v").orderBy("vec_id")
-    rows = usable(vectors).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    rows = fine.distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = written(rows, "ann-entries")
-    dims = entries.select(F.size("v").alias("d")).distinct().limit(2).collect()
-    if len(dims) > 1:
-        raise ValueError("vectors differ in length")
     n = entries.count()
-    taken = entries.select("v") if n <= SAMPLE else entries.select("v", F.xxhash64("v", F.lit(seed)).alias("_h")).orderBy("_h").limit(SAMPLE).select("v")
+    taken = entries.select("v").orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SAMPLE)
     sample = _unit(np.array([r[0] for r in taken.collect()], dtype=np.float64))  # SAMPLE vectors at most
-    tree = fit(sample, seed=seed) if len(sample) else None
-    if tree is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tree = fit(sample, seed=seed)
+    if n > 2 * SAMPLE:
+        tree = _deepen(tree, entries, n, seed)
     visits = calibrate(tree, sample, k, recall)
-    shared = spark.sparkContext.broadcast(tree)  # about SAMPLE / LEAF centres
+    shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
         for batch in batches:
@@ -157,68 +210,76 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(x)), batch.column(0), batch.column(1)], ["leaf", "v", "ids"])
 
     indexed = written(entries.mapInArrow(place, "leaf long, v array<double>, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(1 << 20))), "ann-index")
-    sizes = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    sizes = written(indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"), F.sum(F.size("ids")).alias("held")), "ann-leaves")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in sizes.collect():  # a row for each leaf of the tree
+        held[r.leaf] = r.held
+    counts = spark.sparkContext.broadcast(held)
 
     # queries: every usable row of the divisible ids; those of one vector share a search
-    asked = usable(vectors).filter(F.col("vec_id") % every == 0).distinct()
-    asked = written(asked.withColumn("q", F.xxhash64("v")), "ann-queries")
+    asked = written(fine.filter(F.col("vec_id") % every == 0).distinct(), "ann-asked")
+    searches = written(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "ann-searches")
 
     def route(batches):
         for batch in batches:
             x, qs = _unit(_matrix(batch.column(1))), batch.column(0).to_pylist()
             q, leaf, at = [], [], []
             for i in range(len(qs)):
-                for _, found in zip(range(visits), shared.value.visit(x[i])):
+                found = 0
+                for visited, to in enumerate(shared.value.visit(x[i])):
+                    if visited >= visits and found > k:  # the query's own row is one of them
+                        break
+                    found += counts.value[to]
                     q.append(qs[i])
-                    leaf.append(found)
+                    leaf.append(to)
                     at.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(q, pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["leaf", "q", "v"])
 
-    routed = asked.select("q", "v").distinct().mapInArrow(route, "leaf long, q long, v array<double>")
-    bins = routed.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "q", "v", F.lit(None).cast("array<long>").alias("ids"))
-    dealt = indexed.join(sizes, "leaf").select("leaf", F.pmod("chunk", "chunks").alias("chunk"), F.lit(None).cast("long").alias("q"), "v", "ids")
+    routed = searches.select("q", "v").mapInArrow(route, "leaf long, q long, v array<double>")
+    chunks = sizes.select("leaf", "chunks")
+    bins = routed.join(chunks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "q", "v", F.lit(None).cast("array<long>").alias("ids"))
+    dealt = indexed.join(chunks, "leaf").select("leaf", F.pmod("chunk", "chunks").alias("chunk"), F.lit(None).cast("long").alias("q"), "v", "ids")
     both = dealt.unionByName(bins).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.col("q").asc_nulls_first())
 
     def score(batches):
-        held = None
-        for table in (*map(pa.Table.from_batches, ([b] for b in batches)), None):
-            if table is not None:
-                held = table if held is None else pa.concat_tables([held, table])
-            if held is None or not len(held):
-                continue
-            leaf, chunk = held.column("leaf").to_numpy(), held.column("chunk").to_numpy()
-            cuts = (np.flatnonzero((np.diff(leaf) != 0) | (np.diff(chunk) != 0)) + 1).tolist()
-            ends = cuts if table is not None else [*cuts, len(held)]
-            start = 0
-            for end in ends:
-                yield from _best(held.slice(start, end - start), k)
-                start = end
-            held = held.slice(start)
-
-    scored = both.mapInArrow(score, "q long, vec_id long, score double")
+        bin_, entries_ = None, []
+        for batch in batches:
+            leaf, chunk = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            asks = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(chunk) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if (leaf[a], chunk[a]) != bin_:
+                    bin_, entries_ = (leaf[a], chunk[a]), []
+                part = batch.slice(a, b - a)
+                if not asks[a]:  # entries come first, so they are complete once a query comes
+                    entries_.append((_matrix(part.column(3)), part.column(4).to_pylist()))
+                elif entries_:
+                    if len(entries_) > 1:
+                        entries_ = [(np.concatenate([x for x, _ in entries_]), [i for _, ids in entries_ for i in ids])]
+                    yield _best(*entries_[0], _matrix(part.column(3)), part.column(2).to_pylist(), k)
+
+    scored = both.select("leaf", "chunk", "q", "v", "ids").mapInArrow(score, "q long, vec_id long, score double")
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     per_vector = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = scored.withColumn("_r", F.row_number().over(per_vector)).filter(F.col("_r") <= k + 1).drop("_r")
-    found = asked.select(F.col("vec_id").alias("query_id"), "q").join(top, "q").filter("query_id <> vec_id")
+    found = asked.join(searches, "v").select(F.col("vec_id").alias("query_id"), "q").join(top, "q").filter("query_id <> vec_id")
     return found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(bin_: pa.Table, k: int):
-    """For each query of one leaf's chunk its k + 1 best ids (it may be one of them)."""
-    is_query = bin_.column("q").is_valid().to_numpy()
-    if is_query.all() or not is_query.any():
-        return
-    m = int((~is_query).sum())  # entries come first
-    x = _matrix(bin_.column("v").combine_chunks())
-    ids, entries, asked, qs = bin_.column("ids").slice(0, m).to_pylist(), x[:m], x[m:], bin_.column("q").slice(m).to_pylist()
-    norms = np.sqrt(np.einsum("ij,ij->i", x, x))
-    out_q, out_id, out_score = [], [], []
-    for q, query, norm in zip(qs, asked, norms[m:]):
-        # row by row in one fixed order of sums: equal vectors have equal scores wherever they lie
-        close = np.einsum("ij,j->i", entries, query) / (norms[:m] * norm)
-        least = np.partition(close, m - k - 1)[m - k - 1] if m > k + 1 else -np.inf
-        best = sorted((-close[i], v) for i in np.flatnonzero(close >= least) for v in ids[i])[: k + 1]
-        out_q += [q] * len(best)
-        out_id += [v for _, v in best]
-        out_score += [float(-s) for s, _ in best]
-    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64())], ["q", "vec_id", "score"])
+def _best(entries: np.ndarray, ids: list[list[int]], asked: np.ndarray, qs: list[int], k: int) -> pa.RecordBatch:
+    """For each query its k + 1 best ids among the entries (it may be one of them)."""
+    norms, own = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (entries, asked))
+    unit = entries / norms[:, None]
+    m, out_q, out_id, out_score = len(entries), [], [], []
+    for at in range(0, len(qs), BLOCK):
+        block = (asked[at : at + BLOCK] / own[at : at + BLOCK, None]) @ unit.T
+        least = np.partition(block, m - k - 1, axis=1)[:, m - k - 1] if m > k + 1 else np.full(len(block), -np.inf)
+        for i, (rough, cut) in enumerate(zip(block, least), at):
+            # products in blocks round as they like: what may be among the best is summed again in one fixed order
+            near = np.flatnonzero(rough >= cut - 1e-9)
+            close = np.einsum("ij,j->i", entries[near], asked[i]) / (norms[near] * own[i])
+            best = sorted((-s, v) for s, j in zip(close.tolist(), near) for v in ids[j])[: k + 1]
+            out_q += [qs[i]] * len(best)
+            out_id += [v for _, v in best]
+            out_score += [-s for s, _ in best]
+    return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64())], ["q", "vec_id", "score"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_names, written
 
 WINDOW, SHINGLE = 13, 5
 #: Shingles of the benchmark up to which they are broadcast (about 100 bytes each); beyond, a shuffled join.
@@ -90,9 +90,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words but is not listed; repeated documents and items (equal ids) count once each as rows and as ids; an
     empty table on either side gives no hits; other columns are not read. Texts are taken whole.
     """
-    win = written(
-        windows_of(benchmark, window).groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).withColumn("wid", F.monotonically_increasing_id()), "decontam-windows"
-    )
+    owned = written(windows_of(benchmark, window).withColumn("item_id", F.col("item_id").cast("string")), "decontam-owned")
+    win = written(owned.select("w").distinct().withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
+    # a row for each window and item, never a list: a passage that all items share stays spread
+    owners = written(owned.filter("item_id IS NOT NULL").join(win, "w").select("wid", F.col("item_id").alias("item")).distinct(), "decontam-owners")
     k = F.least(F.size("w"), F.lit(shingle))
     parts = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda o: F.struct(o.alias("o"), F.array_join(F.slice("w", o + 1, k), " ").alias("sh")))
     cut = win.select("wid", F.size("w").alias("len"), k.alias("k"), F.explode(parts).alias("e")).select("wid", "len", "k", "e.o", "e.sh")
@@ -128,8 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return F.aggregate(F.sort_array(spans), zero, step)["hit"]
 
     hits = verified.groupBy("row").agg(cover(F.collect_set(F.struct("s", "len"))).alias("n_hit"), F.collect_set("wid").alias("wids"))
-    items = hits.select("row", F.explode("wids").alias("wid")).join(_prefix_sized(win.select("wid", "items"), rows), "wid")
-    items = items.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = hits.select("row", F.explode("wids").alias("wid")).join(_prefix_sized(owners, owners.count()), "wid")
+    items = items.select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     full = per_doc.select("row", "doc_id", "text_hash", "n").join(hits.select("row", "n_hit"), "row", "left").join(items, "row", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return full.select(
@@ -140,5 +141,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Rows of docs(doc_id, text, ...) that are not contaminated, all columns. A row is known by its id (null too) and a hash of its text."""
-    bad = contamination(docs, benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(written(bad, "decontam-dropped"), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    one, two = own_names(docs, "_d", "_h")
+    bad = contamination(docs, benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct()
+    return docs.join(written(bad, "decontam-dropped"), docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"]) == F.col(two)), "left_anti")

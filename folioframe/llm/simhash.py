@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import golay
-from .common import written
+from .common import own_names, written
 from .components import components
 
 MAX_BITS = 3
 #: Fingerprints under one key that one task compares at once; longer lists are dealt in blocks of pairs.
 BUCKET = 4096
+#: A fingerprint is hot if more than one in so many rows has it: there are fewer hot ones than that.
+HOT = 1000
 SHINGLE, SEED = 3, 42
 _CHUNK = 1 << 14
 
@@ -149,22 +151,31 @@ def link_fingerprints(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_linked, "a long, b long").distinct()
 
 
+def _labels(fps: DataFrame) -> DataFrame:
+    """(fp, _c, component_id, n): for each fingerprint of fps(doc_id, fp) its component, that one's least doc_id and the fingerprint's rows."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("n"))
+    # a fingerprint of rows without an id takes part under a stand-in below any usual id
+    stand_in = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("fp"), F.lit(1 << 62))
+    nodes = written(nodes.select(F.coalesce("_id", stand_in).alias("node"), "fp", "_id", "n"), "simhash-nodes")
+    found = components(link_fingerprints(nodes))
+    labelled = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"), "_id", "n"), "simhash-labels")
+    named = labelled.groupBy("_c").agg(F.min("_id").alias("component_id"))
+    return written(labelled.join(named, "_c").select("fp", "_c", "component_id", "n"), "simhash-named")
+
+
 def near_duplicates(fps: DataFrame) -> DataFrame:
-    """fps(doc_id, fp, ...) with component_id: the least doc_id reachable over fingerprints within MAX_BITS,
-    and _c, a label of the component that is never null.
+    """fps(doc_id, fp, ...) with component_id: the least doc_id reachable over fingerprints within MAX_BITS.
 
     Equal fingerprints are one node from the start, so copies make no pairs. Rows with a null doc_id have the
     component of their fingerprint but never name one (null if none of its rows has an id). Repeated rows all stay.
+    Fingerprints with over a HOT-th of all rows, fewer than HOT by that, are broadcast; the others meet their rows by a shuffle.
     """
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("_id"))
-    # a fingerprint of rows without an id takes part under a stand-in below any usual id
-    stand_in = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("fp"), F.lit(1 << 62))
-    nodes = written(nodes.select(F.coalesce("_id", stand_in).alias("node"), "fp", "_id"), "simhash-nodes")
-    found = components(link_fingerprints(nodes))
-    labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"), "_id")
-    labelled = written(labelled, "simhash-labels")
-    named = labelled.groupBy("_c").agg(F.min("_id").alias("component_id"))
-    return fps.join(labelled.join(named, "_c").select("fp", "_c", "component_id"), "fp", "left")
+    labels = _labels(fps)
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HOT > total
+    hot = F.broadcast(labels.filter(often).select("fp", "component_id"))
+    rest = fps.join(hot, "fp", "left_anti").join(labels.filter(~often).select("fp", "component_id"), "fp")
+    return fps.join(hot, "fp").unionByName(rest)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -183,7 +194,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Fingerprints are written beside the rows with a number for each row, so that rows are told apart even where ids repeat;
     what is dropped, the smaller part, is joined away.
     """
-    row, fp = (next(n for n in (name + "_" * i for i in range(99)) if n not in docs.columns) for name in ("_row", "_fp"))
+    row, fp = own_names(docs, "_row", "_fp")
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
 
     def run(batches):
@@ -192,8 +203,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
 
     stored = written(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
-    labelled = near_duplicates(stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row")))
+    narrow = stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    # the best row of each fingerprint and of these the best of each component: a hot component is a few rows by then
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    best = labelled.groupBy("_c").agg(F.min(order)["row"].alias("kept"))
-    dropped = labelled.join(best, "_c").filter("row <> kept").select(F.col("row").alias(row))
+    best = narrow.groupBy("fp").agg(F.min(order).alias("best")).join(_labels(narrow).select("fp", "_c"), "fp")
+    kept = written(best.groupBy("_c").agg(F.min("best")["row"].alias("row")).select("row"), "simhash-kept")
+    dropped = narrow.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row))
     return stored.join(written(dropped, "simhash-dropped"), row, "left_anti").select(*docs.columns)

@@ -18,6 +18,8 @@ from .common import shared_path
 
 #: Bytes of text that one bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Partitions of the scatter at most; beyond, a task shuffles several buckets, one after another.
+PARTITIONS = 20_000
 
 
 def shard_of(doc_id, shards: int, seed: int):
@@ -92,7 +94,7 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_by
     schema = f"doc_id {kind}, text string, shard int, grown_shard int, bucket int, text_crc32 long, pos long"
     (
         placed.select(*names)
-        .repartitionById(n_buckets, F.col("bucket"))
+        .repartitionById(min(n_buckets, PARTITIONS), F.pmod("bucket", F.lit(min(n_buckets, PARTITIONS))))
         .sortWithinPartitions("bucket")
         .mapInArrow(run, schema)
         .write.option("compression", "zstd")

@@ -22,7 +22,7 @@ ODD = [(1, "Anna Maria went"), (1, "Anna Maria went"), (2, None), (None, "lost i
 def odd(spark):
     """With columns whose names the operators use themselves."""
     df = spark.createDataFrame(ODD, "doc_id long, text string")
-    return df.select("doc_id", "text", F.lit(1).alias("fp"), F.lit("x").alias("row"), F.lit(2.0).alias("score"), F.lit(3).alias("_row"), F.lit(4).alias("_c"))
+    return df.select("doc_id", "text", F.lit(1).alias("fp"), F.lit("x").alias("row"), F.lit(2.0).alias("score"), F.lit(3).alias("_ROW"), F.lit(4).alias("_c"), F.lit(5).alias("_d"), F.lit(6).alias("_H"), F.lit(7).alias("_fp"))
 
 
 @pytest.fixture(scope="module")
@@ -205,7 +205,8 @@ def test_chat_depth_and_edges(spark):
 
 def test_warc(spark):
     big = "<p>" + "x" * 2000
-    data = [(1, "http://a b", big), (2, None, big), (3, "u", big), (3, "u", big), (None, "n", big), (4, "v", "small"), (5, "w", "small"), (6, "e", None), (7, "e", "")]
+    odd_url = "http://a\nb\r\n {x"
+    data = [(1, "http://a b", big), (2, None, big), (3, "u", big), (3, "u", big), (None, "n", big), (4, "v", "small"), (5, odd_url, "small"), (6, "e", None), (7, "e", "")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     manifest = warc.write_archives(pages, archive_bytes=500)
     got = warc.read_archives(manifest, payloads=True).collect()
@@ -214,6 +215,7 @@ def test_warc(spark):
     )
     assert {r.payload_digest for r in got if r.payload_bytes == 2003} == {hashlib.sha1(big.encode()).hexdigest()}
     assert all(r.payload is None or len(r.payload) == r.payload_bytes for r in got)
+    assert {r.page_id: r.url for r in got} == {d[0]: d[1] for d in data}
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
@@ -247,6 +249,25 @@ def test_neighbours(spark, recall, monkeypatch):
     assert few.count() == 6
 
 
+def test_neighbours_are_complete(spark, monkeypatch):
+    """Outliers whose leaves hold few entries, vectors of other lengths, another order of rows: k answers each, the same ones."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 8)) * 3
+    x = np.concatenate([np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 8)) * 0.01, rng.normal(size=(200, 8)) * 20])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, [1.0, 2.0]), (10_050, [3.0])]
+    schema = "vec_id long, embedding array<double>"
+    monkeypatch.setattr(ann, "LEAF", 60)
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    got = rows(ann.search(spark.createDataFrame(data, schema), every=10))
+    assert len(got) == 420 * 5
+    assert rows(ann.search(spark.createDataFrame(data[::-1], schema).repartition(5), every=10)) == got
+    want = brute_neighbours(x, list(range(len(x))), 10, 5)
+    found = {}
+    for q, _, v, _ in (eval(r) for r in got):
+        found.setdefault(q, set()).add(v)
+    assert sum(len(found[q] & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(docs, labels)

@@ -28,7 +28,7 @@ MOVE_TO = [
 LAYOUTS = ["free text", "empty", "wrong", "digital", "handrawn", "halfbook", "print 13a", "print 13b"]
 VARIANTS = ["in", "out", "in/out", "out/in", "misc", "abroad"]
 # Literal dittos, and the patterns of dittos of the two looser vocabularies.
-DITTO_LITERALS = ["S", "s.", "s", "5", "5."]
+DITTO_LITERALS = ['"', "S", "s.", "s", "5", "5."]
 DITTO = r'^("+|[Dd]o?\.?|[Ss][nm]\.?)$'
 DITTO_NARROW = r'^("|[Dd]o?\.?)$'
 # File name of a scanned opening.
@@ -54,16 +54,28 @@ def is_ditto_literal(text: Column | str) -> Column:
     return stripped.isin(*DITTO_LITERALS)
 
 
+def squeezed(text: Column | str) -> Column:
+    """Without any white space."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
 def is_ditto_narrow(text: Column | str) -> Column:
-    return F.col(text).rlike(DITTO_NARROW) if isinstance(text, str) else text.rlike(DITTO_NARROW)
+    return squeezed(text).rlike(DITTO_NARROW)
+
+
+def is_numeric(text: Column | str) -> Column:
+    """Digits and `.,/-` alone, a digit first; white space does not count."""
+    return squeezed(text).rlike(r"^\d[\d.,/-]*$")
 
 
-def is_numeric(text: Column) -> Column:
-    return text.rlike(r"^\d")
+def is_special_only(text: Column | str) -> Column:
+    """One character that is no word character and no double quote; white space does not count."""
+    return squeezed(text).rlike(r'^(?U)[^\w"]$')
 
 
-def is_special_only(text: Column) -> Column:
-    return text.rlike(r'^[^\w"]$')
+def annotation_class(text: Column) -> Column:
+    """empty, numeric, special, same-as or text: the first that an annotation is."""
+    return F.when(text == "", "empty").when(is_numeric(text), "numeric").when(is_special_only(text), "special").when(is_ditto_narrow(text), "same-as").otherwise("text")
 
 
 def header_class(header: Column | str) -> Column:
@@ -96,10 +108,42 @@ def in_out(text: Column) -> Column:
     return F.regexp_extract(F.lower(strip(text)), r"\b(in/out|out/in|in|out)$", 1)
 
 
-def file_meta(name: Column | str, extension: str = "xml") -> Column:
-    """Struct of parish, doctype, year_range, source, page_number and book_id from a file name; null where it does not fit."""
+def is_printed(layout: Column) -> Column:
+    return F.lower(layout).contains("print")
+
+
+def book_parish(book: Column) -> Column:
+    """The parish in a book's name: what stands before `muuttaneet`, without prefix and last underscore."""
+    return F.regexp_replace(F.replace(F.get(F.split(book, "muuttaneet"), F.lit(0)), F.lit("autods_"), F.lit("")), "_$", "")
+
+
+def clean_basename(path: Column) -> Column:
+    """The file name without folder, extension and the marks of debug and coordinate files."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), r"^(debug_)?(coords_)?", "")
+
+
+def without_number(name: Column) -> Column:
+    """Without a leading number and its underscore."""
+    return F.regexp_replace(name, r"^\d+_", "")
+
+
+def short_book_id(parish: Column, doctype: Column, years: Column, source: Column) -> Column:
+    """The book's key with the last part of the source alone."""
+    return F.concat_ws("_", parish, doctype, years, F.lower(F.element_at(F.split(source, "_"), -1)))
+
+
+def page_key(path: Column) -> Column:
+    """(parish, book folder, file stem) of a page's path, by which annotated and predicted pages meet."""
+    parts = F.split(path, "/")
+    return F.struct(F.get(parts, F.size(parts) - 4).alias("parish"), F.get(parts, F.size(parts) - 3).alias("book"), F.regexp_replace(F.get(parts, F.size(parts) - 1), r"^(mands-|autods_)|\.[^.]*$", "").alias("stem"))
+
+
+def file_meta(name: Column | str, extension: str = "xml", prefixes: str = "autods_|mands-") -> Column:
+    """Struct of parish, doctype, year_range, source, page_number and book_id from a file name; null where it does not fit.
+    Images have the prefix `autods_` alone, annotated files of some sets `mands-` alone."""
+    pattern = FILE_NAME.replace("autods_|mands-", prefixes) % extension
     parts = ("parish", "doctype", "year_range", "source", "page_number")
-    got = [F.nullif(F.regexp_extract(name, FILE_NAME % extension, i + 1), F.lit("")).alias(p) for i, p in enumerate(parts)]
+    got = [F.nullif(F.regexp_extract(name, pattern, i + 1), F.lit("")).alias(p) for i, p in enumerate(parts)]
     return F.struct(*got[:4], got[4].cast("int").alias("page_number"), F.lower(F.concat_ws("_", *got[:4])).alias("book_id"))
 
 

@@ -20,21 +20,23 @@ def first_words(rows: list[list[str]]) -> list[dict[str, str]]:
 
 
 def extract_records(rows: DataFrame, keys: list[str], predictor: Predictor = first_words, batch: int = 15) -> DataFrame:
-    """rows(keys, row, texts array) in batches of consecutive rows to the predictor; (keys, row, extracted_data map). Answers beyond the
-    rows of a batch are dropped, missing ones give no row; a batch whose call fails gives none."""
+    """rows(keys, row, texts array) in batches of consecutive rows to the predictor; (keys, row, extracted_data map, error). Answers
+    beyond the rows of a batch are dropped, missing ones give no row; of a batch whose call fails every row stays, without data and
+    with the error."""
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         try:
-            answers = predictor([list(x) for x in pdf["texts"]])
-        except Exception:  # noqa: BLE001  an external model may fail in any way: the batch then has no rows
-            answers = []
+            answers, error = predictor([list(x) for x in pdf["texts"]]), None
+        except Exception as e:  # noqa: BLE001  an external model may fail in any way
+            answers, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
         out = pdf.head(len(answers))[[*keys, "row"]].copy()
         out["extracted_data"] = pd.Series(answers[: len(out)], index=out.index, dtype=object)
+        out["error"] = error
         return out
 
-    return batches(rows, keys, "row", batch).groupBy(*keys, "batch").applyInPandas(run, f"{types}, row int, extracted_data map<string,string>")
+    return batches(rows, keys, "row", batch).groupBy(*keys, "batch").applyInPandas(run, f"{types}, row int, extracted_data map<string,string>, error string")
 
 
 def items(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,8 +51,41 @@ def best_of_neighbours(extracted: Column, truth: Column, keys: list[str], order:
     return F.greatest(*[F.coalesce(t.similarity(extracted, n), F.lit(0.0)) for n in near])
 
 
-def concat_columns(cells: DataFrame, annotations: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, item, truth): the texts of the columns an annotation lists, in its order, joined by a space."""
+def concat_columns(cells: DataFrame, annotations: DataFrame, keys: list[str], skip_empty: bool = True) -> DataFrame:
+    """(keys, row, item, truth): the stripped texts of the columns an annotation lists, in its order, joined by a space. Empty cells
+    and the word `nan` are left out with skip_empty; without, empty cells keep their place and rows without any text have no truth.
+    An annotation without columns gives no row, columns beyond the table are ignored; repeated columns are repeated."""
     placed = annotations.select(*keys, "item", F.posexplode("columns").alias("pos", "col"))
-    listed = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return cells.join(placed, [*keys, "col"]).groupBy(*keys, "row", "item").agg(t.strip(F.array_join(F.transform(listed, lambda x: x["text"]), " ")).alias("truth"))
+    text = t.strip(F.coalesce("text", F.lit("")))
+    listed = F.sort_array(F.collect_list(F.struct("pos", text.alias("text"))))
+    kept = F.transform(listed, lambda x: x["text"])
+    if skip_empty:
+        kept = F.filter(kept, lambda x: (x != "") & (F.lower(x) != "nan"))
+    else:
+        cells = cells.join(cells.filter(F.coalesce("text", F.lit("")) != "").select(*keys, "row").distinct(), [*keys, "row"], "left_semi")
+    return cells.join(placed, [*keys, "col"]).groupBy(*keys, "row", "item").agg(F.array_join(kept, " ").alias("truth"))
+
+
+#: Which fields of a record make up each scored item.
+SCORED = {"person_name": ["occupation", "person_name"], "parish": ["parish_from", "parish_to"], "date": ["date_original"]}
+
+
+def score_records(records: DataFrame, truths: DataFrame, keys: list[str], wrap_first: bool = False) -> DataFrame:
+    """(keys, row, item, extracted, truth, similarity, exact, over_04, over_075): each item of records(keys, row, extracted_data map)
+    against truths(keys, row, item, truth) of its row, the row before and the row after, whichever is most alike (the row itself, then
+    the one before, on ties). Records of rows without truth are not scored; with wrap_first the row before the first one is the table's last.
+    """
+    scored = [F.struct(F.lit(item).alias("item"), t.cleaned_value(*[F.try_element_at("extracted_data", F.lit(f)) for f in fields]).alias("extracted")) for item, fields in SCORED.items()]
+    asked = records.select(*keys, "row", F.explode(F.array(*scored)).alias("x")).select(*keys, "row", "x.item", "x.extracted")
+    w = Window.partitionBy(*keys, "item").orderBy("row")
+    at = lambda c, step: F.when((F.lead("row", step).over(w) if step > 0 else F.lag("row", -step).over(w)) == F.col("row") + step, F.lead(c, step).over(w) if step > 0 else F.lag(c, -step).over(w))
+    before = at("truth", -1)
+    if wrap_first:
+        whole = Window.partitionBy(*keys, "item").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before = F.when(F.col("row") == 0, F.last("truth").over(whole)).otherwise(before)
+    near = truths.select("*", before.alias("_before"), at("truth", 1).alias("_after"))
+    joined = asked.join(near, [*keys, "row", "item"])
+    s = [F.coalesce(t.similarity(F.col("extracted"), F.col(c)), F.lit(-1.0)) for c in ("truth", "_before", "_after")]
+    best = F.greatest(*s)
+    truth = F.when(s[0] == best, F.col("truth")).when(s[1] == best, F.col("_before")).otherwise(F.col("_after"))
+    return joined.select(*keys, "row", "item", "extracted", truth.alias("truth"), best.alias("similarity"), (best == 1.0).alias("exact"), (best >= 0.4).alias("over_04"), (best >= 0.75).alias("over_075"))

@@ -22,12 +22,17 @@ def book_ranges(books: DataFrame, key: str, spec: Column) -> DataFrame:
 
 
 def type_of_opening(openings: DataFrame, ranges: DataFrame, key: str, page: str, opening: str) -> DataFrame:
-    """(key, page, opening, name): the first range of the book that holds the opening, else the one whose start is nearest; null without
-    ranges. ranges is a dimension of a few rows a book, so the join multiplies by that alone."""
-    joined = openings.select(key, page, opening).join(ranges, key, "left")
-    inside = (F.col(opening) >= F.col("start")) & (F.col(opening) <= F.col("end"))
-    far = F.when(inside, 0).otherwise(F.abs(F.col("start") - F.col(opening)))
-    return joined.groupBy(key, page, opening).agg(F.min_by("name", F.struct((~inside).alias("a"), far.alias("b"), F.col("ord").alias("c"))).alias("name"))
+    """(key, page, opening, name): the first range of the book that holds the opening, else the one whose start is nearest (the end does
+    not matter), the first of equals; null without ranges or opening. A book's ranges are one array, so the join adds no rows and nothing
+    is grouped after it."""
+    listed = ranges.groupBy(key).agg(F.collect_list(F.struct("start", "end", "ord", "name")).alias("_ranges"))
+
+    def far(r):
+        inside = (F.col(opening) >= r["start"]) & (F.col(opening) <= r["end"])
+        return F.struct((~inside).alias("out"), F.when(inside, 0).otherwise(F.abs(r["start"] - F.col(opening))).alias("far"), r["ord"].alias("ord"), r["name"].alias("name"))
+
+    nearest = F.when(F.col(opening).isNotNull(), F.array_min(F.transform("_ranges", far))["name"])
+    return openings.join(listed, key, "left").select(key, page, opening, nearest.alias("name"))
 
 
 def page_list(books: DataFrame, key: str, pages: Column) -> DataFrame:
@@ -69,3 +74,36 @@ def process_tables(tables: DataFrame) -> DataFrame:
 def standard_branch(n_tables: Column, n_annotations: Column, same: Column) -> Column:
     """Which annotation a page's tables take: by place, one for all, or none."""
     return F.when(n_tables == n_annotations, "zip").when(n_annotations == 1, "one for all").when((n_annotations == 2) & same, "first for all").otherwise("wrong number of tables")
+
+
+def standardize(rows: DataFrame, pages: DataFrame, page: str, table: str) -> DataFrame:
+    """(page, table, row, layout, direction, log, moved_from, moved_to, original columns) of rows(page, table, row, texts) by pages(page, layout, annotations).
+
+    annotations is an array of (direction, headers), null for layouts that are not printed: their rows are `not implemented`. As many tables as
+    annotations meet by place; else one annotation, or two equal ones, hold for every table; else the rows say `wrong number of tables`, with a direction only
+    if the annotations share one. Pages without any table, and pages without a file (has_file false in pages, where it is a column), have one
+    row that says so.
+    """
+    listed = rows.groupBy(page).agg(F.sort_array(F.collect_set(table)).alias("_tables"))
+    source = pages if "has_file" in pages.columns else pages.withColumn("has_file", F.lit(True))
+    placed = source.join(listed, page, "left")
+    a = F.col("annotations")
+    same = (F.get(a, F.lit(0))["direction"] == F.get(a, F.lit(1))["direction"]) & (F.get(a, F.lit(0))["headers"] == F.get(a, F.lit(1))["headers"])
+    branch = F.when(a.isNull(), "not implemented").otherwise(standard_branch(F.size("_tables"), F.size(a), same))
+    agreed = F.when(F.size(F.array_distinct(F.transform(a, lambda x: x["direction"]))) == 1, F.get(a, F.lit(0))["direction"]).otherwise("unknown")
+    found = placed.filter("has_file AND _tables IS NOT NULL").select(page, "layout", branch.alias("_branch"), agreed.alias("_agreed"), "annotations", "_tables").join(rows, page)
+    own = F.when(F.col("_branch") == "zip", F.get("annotations", (F.array_position("_tables", F.col(table)) - 1).cast("int"))).when(F.col("_branch").isin("one for all", "first for all"), F.get("annotations", F.lit(0)))
+    found = found.withColumn("_own", own).withColumns({"direction": F.col("_own.direction"), "headers": F.col("_own.headers"), "n_expected": F.size("_own.headers")})
+    done = process_tables(found)
+    log = F.when(F.col("_own").isNull(), F.col("_branch")).otherwise(F.col("log"))
+    way = F.when(F.col("_own").isNotNull(), F.col("direction")).when(F.col("_branch") == "not implemented", "unknown").otherwise(F.col("_agreed"))
+    full = done.select(page, table, "row", "layout", way.alias("direction"), log.alias("log"), "moved_from", "moved_to", F.col("texts").alias("original columns"))
+    bare = placed.filter("NOT has_file OR _tables IS NULL").select(page, F.lit(None).cast(rows.schema[table].dataType).alias(table), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "layout", F.lit("unknown").alias("direction"),
+        F.when(F.col("has_file"), "no predicted tables").otherwise("predicted file missing").alias("log"), F.lit(None).cast("string").alias("moved_from"), F.lit(None).cast("string").alias("moved_to"), F.array().cast("array<string>").alias("original columns"))
+    return full.unionByName(bare)
+
+
+def run_counters(rows: DataFrame, page: str) -> DataFrame:
+    """pages, pages_with_data and rows of standardised rows."""
+    per = rows.groupBy(page).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.size("original columns") > 0).alias("_d"))
+    return per.agg(F.count(F.lit(1)).alias("pages"), F.count_if("_d").alias("pages_with_data"), F.sum("_n").alias("rows"))

@@ -51,6 +51,18 @@ def error_rates(pairs: DataFrame, prediction: str, reference: str, *by: str) ->
     )
 
 
+def error_report(pairs: DataFrame, prediction: str, reference: str, kind: Column) -> DataFrame:
+    """(kind, cer, exact, n) of each class of pairs and of `all`, in one pass; the rate is null without reference text."""
+    measured = pairs.select(kind.alias("kind"), F.levenshtein(prediction, reference).alias("_e"), F.length(reference).alias("_l"), (F.col(prediction) == F.col(reference)).cast("double").alias("_x"))
+    out = measured.rollup("kind").agg(F.grouping("kind").alias("_g"), ratio(F.sum("_e"), F.sum("_l")).alias("cer"), F.avg("_x").alias("exact"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "cer", "exact", "n")
+
+
+def macro_mean(summary: DataFrame, *columns: str) -> DataFrame:
+    """The plain mean of summary rows, each item counting once."""
+    return summary.agg(*[F.avg(c).alias(c) for c in columns])
+
+
 def class_report(rows: DataFrame, truth: str, predicted: str, classes: list) -> DataFrame:
     """Precision, recall, F1 and support of each class; classes is a short list."""
     counts = rows.select(F.explode(F.array(*map(F.lit, classes))).alias("class"), truth, predicted).groupBy("class").agg(
@@ -82,3 +94,11 @@ def mixtures(values: DataFrame, column: str, most: int, seed: int = 1) -> DataFr
         fits.append((k, model.summary.logLikelihood, sorted(float(g.mean[0]) for g in model.gaussians)))
     rows = [(k, 2.0 * (3 * k - 1) - 2 * fit, (3 * k - 1) * math.log(n) - 2 * fit, means) for k, fit, means in fits]
     return values.sparkSession.createDataFrame(rows, "k int, aic double, bic double, means array<double>")
+
+
+def elbow(fits: DataFrame, score: str = "aic") -> DataFrame:
+    """The row of fits(k, score, ...) at the elbow of a falling score: the k whose point lies furthest below the line from the first to the last one; the least k of equals."""
+    ends = fits.agg(F.min("k").alias("_k0"), F.max("k").alias("_k1"), F.min_by(score, "k").alias("_s0"), F.max_by(score, "k").alias("_s1"))  # a row for each k, so a few
+    below = F.coalesce(F.try_divide(F.col("k") - F.col("_k0"), F.col("_k1") - F.col("_k0")), F.lit(0.0)) - F.coalesce(F.try_divide(F.col("_s0") - F.col(score), F.abs(F.col("_s0") - F.col("_s1"))), F.lit(0.0))
+    ranked = fits.join(ends, F.lit(True)).withColumn("_d", below)
+    return ranked.orderBy("_d", "k").limit(1).drop("_k0", "_k1", "_s0", "_s1", "_d")

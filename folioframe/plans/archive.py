@@ -296,7 +296,7 @@ def extraction_summary(spark, sf_dir):
     return out.select("p_brand", *[F.round(c, 9).alias(c) for c in ("avg_similarity", "exact", "over_04", "over_075")], "n")
 
 
-@query("""WITH p AS (SELECT p_name AS reference, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE substr(p_name, 2) END AS prediction, CASE WHEN p_size % 7 = 0 THEN 'multi' WHEN regexp_matches(p_name, '^[0-9]') THEN 'numeric' ELSE 'text' END AS kind FROM part)
+@query("""WITH p AS (SELECT p_name AS reference, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE substr(p_name, 2) END AS prediction, CASE WHEN p_size % 7 = 0 THEN 'multi' WHEN regexp_matches(regexp_replace(p_name, '\\s+', '', 'g'), '^[0-9][0-9.,/-]*$') THEN 'numeric' ELSE 'text' END AS kind FROM part)
 SELECT kind, round(sum(levenshtein(prediction, reference)) / sum(length(reference)), 9) AS cer, round(avg(CAST(prediction = reference AS INTEGER)), 9) AS exact, count(*) AS n FROM p GROUP BY kind""")
 def cer_by_class(spark, sf_dir):
     """Character error rate and exact match by class."""

@@ -29,6 +29,35 @@ def zip_members(spark: SparkSession, path: str, holds: str = "", suffix: str = "
     return files.mapInArrow(run, "archive string, name string, content binary")
 
 
+def write_zips(members: DataFrame, folder: str) -> DataFrame:
+    """Writes members(archive, name, content) into folder/archive.zip and returns (archive, members, file). An archive is written by one task, member after member; a task
+    that runs again writes under a new name first, so a file is always whole. The folder is one that all tasks reach by this path; null contents are empty."""
+    import os
+    import uuid
+
+    def run(batches):
+        open_, name, count, target = None, None, 0, None
+
+        def close():
+            open_.close()
+            os.replace(target, f"{folder}/{name}.zip")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([f"{folder}/{name}.zip"])], ["archive", "members", "file"])
+
+        for batch in batches:  # sorted by archive
+            for archive, member, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if archive != name:
+                    if open_ is not None:
+                        yield close()
+                    name, count, target = archive, 0, f"{folder}/.{archive}-{uuid.uuid4().hex}"
+                    open_ = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
+                open_.writestr(member, content or b"")
+                count += 1
+        if open_ is not None:
+            yield close()
+
+    return members.select("archive", "name", "content").repartition("archive").sortWithinPartitions("archive", "name").mapInArrow(run, "archive string, members long, file string")
+
+
 def top_folders(members: DataFrame) -> DataFrame:
     return members.select(F.get(F.split("name", "/"), F.lit(0)).alias("folder")).distinct()
 

@@ -102,4 +102,5 @@ def test_extraction(spark):
             raise ValueError
         return [{"x": "1"}]
 
-    assert [r.row for r in extract.extract_records(rows, ["tab"], failing, 3).orderBy("row").collect()] == [0, 6]
+    got = extract.extract_records(rows, ["tab"], failing, 3).orderBy("row").collect()
+    assert [(r.row, r.error) for r in got] == [(0, None), (3, "ValueError: "), (4, "ValueError: "), (5, "ValueError: "), (6, None)]

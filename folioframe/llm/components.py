@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours (the larger ones, or the smaller ones and itself) to its least neighbour."""
+#: A node is a hub if it has more than one in so many links: there are some thousands at most.
+HUB = 1000
+
+
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
+    """Links each node's neighbours (the larger ones, or the smaller ones and itself) to its least neighbour; `total` is about the number of
+    links. Hubs, a few by their definition, are broadcast, so that no task gets all links of one."""
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links  # a > b always holds: b are the smaller neighbours of a
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both.a == least.u)
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), (F.col("n") * HUB > total).alias("hub"))
+    hubs = F.broadcast(least.filter("hub").select("a", "m"))
+    joined = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(least.filter("NOT hub").select("a", "m"), "a"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter(F.col("a") > F.col("b")).distinct()
 
 
@@ -27,8 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of links(a long, b long), the least node it is connected with.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one
-    round. A node's neighbours are never gathered: its least one is a min with partial aggregation and
-    the rest a join that adaptive execution can split. Self-links and repeated links do no harm; links
+    round. A node's neighbours are never gathered: its least one is a min with partial aggregation, and
+    each link meets it by a join, for hubs a broadcast one. Self-links and repeated links do no harm; links
     with a null end are ignored; no links give no rows.
     """
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -38,5 +44,5 @@ def components(links: DataFrame) -> DataFrame:
         before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        now = written(_star(_star(now, True), False), "cc")
+        now = written(_star(_star(now, True, state[0]), False, state[0]), "cc")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -90,7 +90,10 @@ def test_sharding(spark, odd, none):
     assert sharding.external_shuffle(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [4, components.HUB])
+def test_components(spark, monkeypatch, hub):
+    """Against union-find, with few hubs and with nearly all nodes of this small table as hubs."""
+    monkeypatch.setattr(components, "HUB", hub)
     rng = np.random.default_rng(5)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [tuple(map(int, rng.integers(200, 260, 2))) for _ in range(40)] + [(7, 7), (300, None)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

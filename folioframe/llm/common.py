@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to Python: long texts must not add up.
-ARROW_ROWS, ARROW_BYTES = "1000", str(16 << 20)
+ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
 _OWN_DIR: list[str] = []
 
 
@@ -88,6 +90,42 @@ def attempt_name(prefix: str) -> str:
     return f"{prefix}-{part:06d}-{uuid.uuid4().hex}"
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), kept in a Python worker for its next tasks. Workers serve all operators in turn: what another key kept goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow; when its task ends, free memory goes back to the system, which a worker kept for later tasks would hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts with at most about `most` bytes of a string column; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin = held_bytes = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held_bytes + size > most:
+            yield batch.slice(begin, i - begin)
+            begin, held_bytes = i, 0
+        held_bytes += size
+    if begin < len(batch):
+        yield batch.slice(begin)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from a function of one batch."""
 

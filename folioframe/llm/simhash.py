@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import golay
-from .common import own_names, written
+from .common import giving_back, own_names, written
 from .components import components
 
 MAX_BITS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], [*keep, "fp"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(run, f"{types}, fp long")
+    return docs.select("text", *keep).mapInArrow(giving_back(run), f"{types}, fp long")
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def link_fingerprints(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Keys with more than `bucket` fingerprints are dealt in blocks: every fingerprint goes to the tasks of
     all pairs of its block with another, so each pair still meets, and no task holds more than two blocks.
     """
-    keyed = written(nodes.select("node", "fp").mapInArrow(_keyed, "key long, node long, fp long"), "simhash-keys")
+    keyed = written(nodes.select("node", "fp").mapInArrow(giving_back(_keyed), "key long, node long, fp long"), "simhash-keys")
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key", F.ceil(F.col("n") * 2 / bucket).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # blocks i <= j meet in task i * blocks + j
@@ -148,7 +148,7 @@ def link_fingerprints(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
     )
     dealt = keyed.join(hot, "key", "left").select("key", F.explode(tasks).alias("block"), "node", "fp")
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_linked, "a long, b long").distinct()
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(giving_back(_linked), "a long, b long").distinct()
 
 
 def _labels(fps: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
 
-    stored = written(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    stored = written(docs.mapInArrow(giving_back(run), schema).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     narrow = stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     # the best row of each fingerprint and of these the best of each component: a hot component is a few rows by then
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back, held
+
 #: Bounds of the training sample: labelled rows of each class, which are taken whole.
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 4500
 #: Words of a window; bytes of the toxic and of the ordinary dictionary; compression level.
@@ -171,7 +173,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     return fit([t for t, x in found if x], [t for t, x in found if not x], odds)
 
 
-_PACKERS: dict[bytes, tuple] = {}
+def _ready(packed: bytes) -> tuple:
+    """A pickled model and its compressors, made once in a worker."""
+
+    def make():
+        own = pickle.loads(packed)
+        return own, own.compressors() if own.weights is not None else None
+
+    return held(("toxicity", packed), make)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,16 +189,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     packed = pickle.dumps(model)
 
     def run(batches):
-        if packed not in _PACKERS:
-            _PACKERS.clear()
-            _PACKERS[packed] = (own := pickle.loads(packed), own.compressors() if own.weights is not None else None)
-        own, packers = _PACKERS[packed]
+        own, packers = _ready(packed)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(batch.column(0).to_pylist(), packers), pa.float64())], [*names, "score"])
 
     names = [f"_c{i}" for i in range(len(keep))]
     types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
-    out = docs.select("text", *(F.col(c).alias(n) for n, c in zip(names, keep))).mapInArrow(run, f"{types}, score double")
+    out = docs.select("text", *(F.col(c).alias(n) for n, c in zip(names, keep))).mapInArrow(giving_back(run), f"{types}, score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "score")
 
 
@@ -204,11 +210,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     packed = pickle.dumps(model)
 
     def run(batches):
-        if packed not in _PACKERS:
-            _PACKERS.clear()
-            _PACKERS[packed] = (own := pickle.loads(packed), own.compressors() if own.weights is not None else None)
-        own, packers = _PACKERS[packed]
+        own, packers = _ready(packed)
         for batch in batches:
             yield batch.filter(pa.array(own.scores(batch.column("text").to_pylist(), packers) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

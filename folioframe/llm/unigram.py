@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back, held, slices
+
 MARK = "▁"
 #: Penalty of an unknown character below the least score.
 UNKNOWN = 10.0
 #: Shift of the rank in the law that turns merge ranks into log probabilities.
 SHIFT = 2.7
-#: Bytes of a part up to which it is solved together with others; parts solved at once.
-TOGETHER, AT_ONCE = 96, 1 << 16
+#: Bytes of a part up to which it is solved together with others; bytes, with padding, solved at once; bytes of texts in work at once.
+TOGETHER, AT_ONCE, IN_WORK = 96, 1 << 19, 1 << 20
 
 
 class DoubleArray:
@@ -77,7 +80,11 @@ class DoubleArray:
                 check[at + b] = state
                 todo.append((at + b, i, j, depth + 1))
         self.base, self.check, self.value = (np.frombuffer(x, np.int32) for x in (base, check, value))
-        self.lists = base.tolist(), check.tolist(), value.tolist()  # what a walk step by step reads faster
+
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int]]:
+        """The arrays as lists, which a walk step by step, for long parts, reads faster."""
+        return self.base.tolist(), self.check.tolist(), self.value.tolist()
 
     def prefixes(self, data: bytes, start: int) -> list[tuple[int, int]]:
         """(end, value) of every key that data[start:] begins with."""
@@ -262,7 +269,8 @@ class Unigram:
         short = int(np.searchsorted(length[order], TOGETHER, side="right"))
         at = 0
         while at < short:
-            some = order[at : min(at + AT_ONCE, short)]
+            some = order[at:short]
+            some = some[: max(1, int(np.searchsorted(length[some] * np.arange(1, len(some) + 1), AT_ONCE, side="right")))]
             # no more than half of a table is padding
             some = some[: max(1, int(np.searchsorted(length[some], 2 * max(4, length[some[0]]), side="right")))]
             place = np.arange(length[some[-1]])
@@ -305,13 +313,8 @@ def zipf_scores(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float,
     return [(p, -float(np.log(r * total)) if k == "normal" else s, k) for r, (p, s, k) in zip(ranks, pieces)]
 
 
-_MODELS: dict[str, Unigram] = {}
-
-
 def model(path: str) -> Unigram:
-    if path not in _MODELS:
-        _MODELS[path] = Unigram.load(path)
-    return _MODELS[path]
+    return held(("unigram", path), lambda: Unigram.load(path))
 
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -324,13 +327,13 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
     def run(batches):
         own = model(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, IN_WORK)):
             ids, places = own.encode_batch(batch.column(0))
             pieces = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pieces, pa.array(own.decode_batch(ids, places), pa.string())], [*names, "pieces", "decoded"])
 
     types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
-    out = docs.select("text", *(F.col(c).alias(n) for n, c in zip(names, keep))).mapInArrow(run, f"{types}, pieces array<int>, decoded string")
+    out = docs.select("text", *(F.col(c).alias(n) for n, c in zip(names, keep))).mapInArrow(giving_back(run), f"{types}, pieces array<int>, decoded string")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "pieces", "decoded")
 
 
@@ -339,7 +342,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = model(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, IN_WORK)):
             ids, places = own.encode_batch(batch.column(1))
             raw, ends = ids.astype("<u4").tobytes(), (places * 4).tolist()
             yield pa.RecordBatch.from_arrays(
@@ -348,5 +351,5 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, ids_crc32 long, decoded string")
+    out = docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, text string, n_tokens long, ids_crc32 long, decoded string")
     return out.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

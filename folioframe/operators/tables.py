@@ -31,17 +31,20 @@ def remove_overlapping(tables: DataFrame, page: str, ordinal: str, rect: Column,
 
 def match_greedy(truth: DataFrame, predicted: DataFrame, page: str) -> DataFrame:
     """(page, i, j, iou): over both tables (page, ord, r), the pair of the largest IoU above 0 first, each table once;
-    truth without a partner has j null and iou 0. Ties go to the lower i, then j. Pairs exist within one page only."""
-    pairs = truth.select(page, F.col("ord").alias("i"), F.col("r").alias("a")).join(predicted.select(page, F.col("ord").alias("j"), F.col("r").alias("b")), page)
-    scored = pairs.select(page, "i", "j", g.iou(F.col("a"), F.col("b")).alias("iou")).filter("iou > 0")
-    listed = scored.groupBy(page).agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "i", "j", "iou"))).alias("ps"))
+    truth without a partner has j null and iou 0. Ties go to the lower i, then j. Pairs exist within one page only, in one shuffle of both
+    tables; those without a page have no partner."""
+    rows = truth.select(page, F.struct("ord", "r").alias("_t"), F.lit(None).alias("_p")).unionByName(predicted.select(page, F.lit(None).alias("_t"), F.struct("ord", "r").alias("_p")))
+    pages = rows.groupBy(page).agg(F.collect_list("_t").alias("_t"), F.collect_list("_p").alias("_p")).filter(F.size("_t") > 0)
+    pairs = F.flatten(F.transform("_t", lambda a: F.transform("_p", lambda b: F.struct((-g.iou(a["r"], b["r"])).alias("neg"), a["ord"].alias("i"), b["ord"].alias("j")))))
+    listed = pages.select(page, "_t", F.sort_array(F.filter(pairs, lambda p: (p["neg"] < 0) & F.col(page).isNotNull())).alias("_ps"))
 
     def take(done, p):
         used = F.exists(done, lambda d: (d["i"] == p["i"]) | (d["j"] == p["j"]))
         return F.when(used, done).otherwise(F.concat(done, F.array(p)))
 
-    matched = listed.select(page, F.explode(F.aggregate("ps", F.slice("ps", 1, 0), take)).alias("m")).select(page, "m.i", "m.j", "m.iou")
-    return truth.select(page, F.col("ord").alias("i")).join(matched, [page, "i"], "left").select(page, "i", "j", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    matched = listed.select(page, F.explode(F.transform("_t", lambda t: t["ord"])).alias("i"), F.aggregate("_ps", F.slice("_ps", 1, 0), take).alias("_m"))
+    own = matched.select(page, "i", F.get(F.filter("_m", lambda m: m["i"] == F.col("i")), F.lit(0)).alias("_m"))
+    return own.select(page, "i", F.col("_m.j").alias("j"), F.coalesce(-F.col("_m.neg"), F.lit(0.0)).alias("iou"))
 
 
 def precision_recall(matches: DataFrame, n_truth: Column, n_predicted: Column, threshold: float) -> tuple[Column, Column, Column]:

@@ -104,3 +104,14 @@ def test_extraction(spark):
 
     got = extract.extract_records(rows, ["tab"], failing, 3).orderBy("row").collect()
     assert [(r.row, r.error) for r in got] == [(0, None), (3, "ValueError: "), (4, "ValueError: "), (5, "ValueError: "), (6, None)]
+
+
+def test_matching_without_pages_and_partners(spark):
+    def of(*rows):
+        return spark.createDataFrame(rows, "page int, ord int, x int, y int, w int, h int").select("page", "ord", g.rect(*map(F.col, "xywh")).alias("r"))
+
+    truth = of((1, 0, 0, 0, 10, 10), (1, 1, 5, 0, 10, 10), (None, 0, 0, 0, 5, 5), (2, 0, 0, 0, 1, 1))
+    predicted = of((1, 7, 4, 0, 10, 10), (None, 1, 0, 0, 5, 5), (3, 1, 0, 0, 1, 1))
+    got = {(r.page, r.i): (r.j, round(r.iou, 6)) for r in tables.match_greedy(truth, predicted, "page").collect()}
+    assert got == {(1, 0): (None, 0), (1, 1): (7, round(9 / 11, 6)), (2, 0): (None, 0), (None, 0): (None, 0)}
+    assert not tables.match_greedy(truth.limit(0), predicted, "page").collect()

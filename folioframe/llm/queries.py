@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, chat, decontam, sharding, simhash, toxicity, unigram, warc, wavelet
+from . import ann, bpe_count, chat, decontam, repair_turns, sharding, simhash, toxicity, unigram, warc, wavelet
 from .common import table, written
 
 
@@ -58,7 +58,11 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op5_unigram, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids)}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op5_unigram, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids, op11_structure_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
@@ -95,5 +99,60 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_structure_repair": r"""
+WITH RECURSIVE crc8(b, j, x) AS (
+  SELECT range, 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT b, j + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END FROM crc8 WHERE j < 8),
+crc AS (SELECT b, x FROM crc8 WHERE j = 8),
+raw AS (
+  SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+sums(n, k, j, x) AS (
+  SELECT n, k, 0, CAST(4294967295 AS BIGINT) FROM raw
+  UNION ALL SELECT n, k, j + 1, xor(sums.x // 256, crc.x) FROM sums JOIN crc ON crc.b = xor(sums.x % 256, CAST(ascii(substr(k, j + 1, 1)) AS BIGINT)) WHERE j < length(k)),
+kinds AS (SELECT n, xor(x, 4294967295) % 20 AS kind FROM sums WHERE j = length(k)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw JOIN kinds USING (n) WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, substr(role, 1, 1) AS c
+  FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'clean' END AS fault,
+    lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair
+  FROM ordered),
+chains(q, p, cost, audit, said) AS (
+  VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'),
+    (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')),
+steps(p, r, role, initial) AS (VALUES (0, 1, '', 's'), (0, 2, 'user', 'u'), (1, 2, 'user', 'u'), (2, 3, 'assistant', 'a'), (3, 2, 'user', 'u')),
+row_edits AS (
+  SELECT conv_id, i, p, r, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cost, 'K' AS audit, chr(10) || f.role || ':' || text AS said FROM faulty f JOIN steps ON c = initial WHERE fault IN ('clean', 'truncated')
+  UNION ALL SELECT conv_id, i, p, r, 2 + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'R', chr(10) || s.role || ':' || text FROM faulty, steps s WHERE fault IN ('clean', 'truncated') AND s.role <> ''
+  UNION ALL SELECT conv_id, i, q, q, 3, 'D', '' FROM faulty, (SELECT unnest([0, 1, 2, 3]) AS q)),
+dp(conv_id, i, q, cost, audit, said) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, 0, '', '' FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT dp.conv_id, dp.i + 1 AS i, e.r AS q, dp.cost + h.cost + e.cost AS cost, dp.audit || h.audit || e.audit AS audit, dp.said || h.said || e.said AS said,
+      row_number() OVER (PARTITION BY dp.conv_id, e.r ORDER BY dp.cost + h.cost + e.cost, dp.audit || h.audit || e.audit) AS best
+    FROM dp JOIN chains h ON h.q = dp.q JOIN row_edits e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1 AND e.p = h.p)
+  WHERE best = 1),
+lengths AS (SELECT c.conv_id, count(f.i) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+ended AS (
+  SELECT dp.conv_id, dp.cost + h.cost AS cost, dp.audit || h.audit AS audit, dp.said || h.said AS said,
+    row_number() OVER (PARTITION BY dp.conv_id ORDER BY dp.cost + h.cost, dp.audit || h.audit) AS best
+  FROM dp JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND l.n = dp.i JOIN chains h ON h.q = dp.q AND h.p IN (0, 3)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, sha256(substr(said, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM e.conv_id WHERE best = 1
 """,
 }

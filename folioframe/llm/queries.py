@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe_count, chat, decontam, repair_turns, sharding, simhash, toxicity, unigram, warc, wavelet
+from . import align, ann, bpe_count, chat, decontam, packing, repair_turns, sharding, simhash, toxicity, unigram, warc, wavelet
 from .common import table, written
 
 
@@ -62,11 +62,15 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_turns.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op5_unigram, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids, op11_structure_repair, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_neighbours, op4_chat, op5_unigram, op6_toxicity, op7_token_counts, op8_sharding, op9_decontamination, op10_wavelet_ids, op11_structure_repair, op12_packing, op13_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """

@@ -5,17 +5,16 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import align, queries, repair_turns
+from folioframe.llm import align, packing, queries, repair_turns
 
 SF = "/root/testdata/sf0.001"
-BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+BYTES, PIECES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
 # structure repair
@@ -219,3 +218,104 @@ def test_alignment_memory(monkeypatch):
         for a, b in zip(got, want, strict=True):
             assert a[:5] == b[:5] and (a[5] == b[5]).all() and (a[6] == b[6]).all()
     assert len(small.table.index) <= 3
+
+
+# packing
+
+
+@cache
+def word_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
+
+
+def library_ids(text):
+    return word_library().encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def check_pieces(got, docs, window):
+    """Every id of every row once, sequences gapless, only powers of two shorter than the window."""
+    sequences, want = defaultdict(list), Counter()
+    for doc, text in docs:
+        want[doc, tuple(library_ids(text))] += 1
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0 and len(r.ids) == 4 * r.length
+            at += r.length
+        assert at <= window and at & (at - 1) == 0 or at == window
+    # pieces of rows that share an id are put together by trying: here by the ids they must give
+    left = defaultdict(list)
+    for r in got:
+        left[r.doc_id].append((r.start, r.length, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.doc_tokens))
+    for (doc, ids), times in want.items():
+        for _ in range(times):
+            at = 0
+            while at < len(ids):
+                piece = next(p for p in left[doc] if p[0] == at and p[3] == len(ids) and ids[at : at + p[1]] == p[2])
+                left[doc].remove(piece)
+                at += piece[1]
+    assert not any(left.values())
+
+
+def test_packing_edges(spark):
+    more = [(100 + i, f"topic{i % 3} river bank {i} " * (i % 9 + 1)) for i in range(60)] + [(200, "same text here") for _ in range(50)]
+    docs = [*TEXTS, (30, "<|ENDOFTEXT|> Upper Ünï <|endoftext|>x"), (31, "Σίσυφος ΣΑΣ ΣΑΣ"), *more]
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("*", F.lit(1).alias("ids"), F.lit("x").alias("START"), F.lit(3).alias("shard"))
+    for window, rows in ((64, 16), (100, 1000)):
+        got = packing.packed(df, WORDS, 2, window, rows).collect()
+        check_pieces(got, docs, window)
+    assert packing.packed(df.limit(0), WORDS, 2).count() == 0
+    assert [r.length for r in packing.packed(df.filter("text IS NULL").limit(1), WORDS, 2).collect()] == [1]
+
+
+def test_packing_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.QUERIES["op12_packing"](spark, SF).collect()
+    ids = {d: np.array(library_ids(t), "<u4") for d, t in docs}
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    lengths = Counter()
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        lengths[r.sequence_id] += r.length
+    assert all(n == 4096 or n & (n - 1) == 0 for n in lengths.values())
+    # full but for what the shards have left
+    assert sum(n < 4096 for n in lengths.values()) <= 12
+
+
+def test_neighbours_are_the_best():
+    """Scores of the index against BM25 by its definition, over the same query tokens."""
+    rng = np.random.default_rng(2)
+    bags = [rng.integers(0, 40, rng.integers(1, 30)).astype("<u4") for _ in range(80)]
+    frequency = np.bincount(np.concatenate([np.unique(b) for b in bags]), minlength=41)
+    known = packing.Statistics(len(bags), sum(map(len, bags)), frequency)
+    index = packing.Index([b.tobytes() for b in bags], known)
+    index.used[5:9] = True
+    mean = sum(map(len, bags)) / len(bags)
+
+    def weight(token, bag):
+        n = (bag == token).sum()
+        idf = np.log(1 + (len(bags) - frequency[token] + 0.5) / (frequency[token] + 0.5))
+        return idf * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(bag) / mean))
+
+    for seed in (5, 6):
+        asked = sorted(np.unique(bags[seed]).tolist(), key=lambda t: -weight(t, bags[seed]))[: packing.QUERY_TOKENS]
+        scores = {i: sum(weight(t, b) for t in asked) for i, b in enumerate(bags) if not 5 <= i < 9}
+        want = sorted((i for i in scores if scores[i] > 0), key=lambda i: -scores[i])
+        got = index.neighbours(seed, 20)
+        assert np.allclose([scores[i] for i in got], [scores[i] for i in want[:20]], rtol=1e-4) and len(set(got)) == 20
+
+
+def test_neighbours_share_sequences():
+    """Passages of one topic stand together although they come in turns."""
+    passages = [np.array([10 + i % 4] * 5 + [100 + i], "<u4").tobytes() for i in range(40)]
+    frequency = np.bincount(np.concatenate([np.unique(np.frombuffer(p, "<u4")) for p in passages]))
+    for sequence in packing.pack(passages, packing.Statistics(40, 240, frequency), window=30)[:4]:
+        assert len({i % 4 for i, *_ in sequence}) == 1
+
+
+def test_shard_plan():
+    assert packing.shard_plan([(1, 3), (2, 3), (3, 25), (4, 5), (9, 6)], 10) == [(1, 0, 1), (2, 0, 1), (3, 1, 3), (4, 4, 1), (9, 5, 1)]

@@ -153,10 +153,9 @@ def link_fingerprints(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def _labels(fps: DataFrame) -> DataFrame:
     """(fp, _c, component_id, n): for each fingerprint of fps(doc_id, fp) its component, that one's least doc_id and the fingerprint's rows."""
+    # a fingerprint is its own node: rows of one doc_id with unlike texts are told apart, and ids only name components
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("n"))
-    # a fingerprint of rows without an id takes part under a stand-in below any usual id
-    stand_in = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("fp"), F.lit(1 << 62))
-    nodes = written(nodes.select(F.coalesce("_id", stand_in).alias("node"), "fp", "_id", "n"), "simhash-nodes")
+    nodes = written(nodes.select(F.col("fp").alias("node"), "fp", "_id", "n"), "simhash-nodes")
     found = components(link_fingerprints(nodes))
     labelled = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"), "_id", "n"), "simhash-labels")
     named = labelled.groupBy("_c").agg(F.min("_id").alias("component_id"))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import own_names, written
 
 WINDOW, SHINGLE = 13, 5
-#: Shingles of the benchmark up to which they are broadcast (about 100 bytes each); beyond, a shuffled join.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes of text of a benchmark table up to which it is broadcast; beyond either, a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+#: Matches of a document that candidates take along for verification: a block of so many, and what a window reaches beyond it.
+BLOCK = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands before the shingles of a document, so that a document without matches keeps a row.
@@ -40,11 +42,17 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", F.explode(starts).alias("w")).distinct()
 
 
-def _prefix_sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, text: str | None = None) -> bool:
+    """Whether df, a written table, is within the bounds of a broadcast; text is its column of unbounded length, if it has one."""
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text) if text else F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], rows: int) -> DataFrame:
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], small: bool) -> DataFrame:
     """One row a document (p = -1) and one for each of its shingles that is in shingles(sh, k, sid)."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
 
@@ -70,7 +78,7 @@ def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], rows: int)
         place = F.when(F.col("k") == k, F.col("at") - offset[k]).otherwise(place)
     known = shingles.select("sh", "k", "sid", F.xxhash64(*[F.lower(F.get(F.split("sh", " "), F.lit(d))) for d in range(max(sizes, default=1))]).alias("h"))
     mark = docs.sparkSession.range(1).select(F.lit("").alias("sh"), F.lit(0).alias("k"), F.lit(-1).cast("long").alias("sid"), F.lit(MARK).alias("h"))
-    if rows > BROADCAST_ROWS:  # the rows are dealt by hash: take the shingle along, not the document
+    if not small:  # the rows are dealt by hash: take the shingle along, not the document
         text = F.lit("")
         for k in sizes:
             text = F.when((F.col("at") >= offset[k]) & (F.col("at") < offset[k] + F.greatest(F.col("n") - (k - 1), F.lit(0))), F.array_join(F.slice("w", F.col("at") - offset[k] + 1, k), " ")).otherwise(text)
@@ -78,7 +86,7 @@ def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], rows: int)
         exact = ascii_lower(F.col("text")) == F.col("sh")
     else:
         exact = ascii_lower(F.array_join(F.slice("w", F.greatest(F.col("p") + 1, F.lit(1)), F.col("k")), " ")) == F.col("sh")
-    joined = cut.join(_prefix_sized(known.unionByName(mark), rows), "h").withColumn("p", place)
+    joined = cut.join(_sized(known.unionByName(mark), small), "h").withColumn("p", place)
     return joined.filter(((F.col("sid") < 0) & (F.col("at") == 0)) | ((F.col("sid") >= 0) & (F.col("p") >= 0) & exact)).select("row", "doc_id", "text_hash", "n", "p", "k", "sid")
 
 
@@ -100,8 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     shingles = written(cut.select("sh", "k").distinct().withColumn("sid", F.monotonically_increasing_id()), "decontam-shingles")
     # at most `shingle` sizes, of which there is one unless items are very short
     sizes = sorted(r[0] for r in shingles.select("k").distinct().collect())
-    rows = shingles.count()
-    found = written(_matches(docs, shingles, sizes, rows), "decontam-matches")
+    found = written(_matches(docs, shingles, sizes, _small(shingles, "sh")), "decontam-matches")
 
     counts = found.filter("sid >= 0").groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
     # windows with a shingle that occurs nowhere cannot occur
@@ -113,7 +120,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     listed = F.sort_array(F.collect_list(F.when(F.col("sid") >= 0, F.struct("k", "p", "sid"))))
     per_doc = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n").alias("n"), listed.alias("m"))
     per_doc = per_doc.select("row", "doc_id", "text_hash", "n", F.transform("m", lambda x: x["p"]).alias("ps"), F.transform("m", lambda x: x["sid"]).alias("sids"))
-    candidates = per_doc.filter(F.size("sids") > 0).select("row", "n", "ps", "sids", F.posexplode("sids").alias("j", "sid")).join(_prefix_sized(prefixes, prefixes.count()), "sid")
+    # a candidate takes its block of matches along, not all of its document
+    reach = max(window - shingle, 0)
+    begins = lambda b: F.greatest(b * BLOCK - reach, F.lit(0))
+    around = lambda c, b: F.slice(c, begins(b) + 1, BLOCK + 2 * reach)
+    block = lambda b: F.struct((b * BLOCK - begins(b)).alias("skip"), around(F.col("ps"), b).alias("ps"), around(F.col("sids"), b).alias("sids"))
+    blocks = per_doc.filter(F.size("sids") > 0).select("row", "n", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("sids") - 1) / BLOCK).cast("int")), block)).alias("b")).select("row", "n", "b.*")
+    candidates = blocks.select("row", "n", "ps", "sids", "skip", F.posexplode(F.slice("sids", F.col("skip") + 1, F.lit(BLOCK))).alias("i", "sid"))
+    candidates = candidates.withColumn("j", F.col("skip") + F.col("i")).join(_sized(prefixes, _small(prefixes)), "sid")
     length, begin = F.size("want"), F.col("j") - F.col("o")
     start = F.get("ps", F.col("j")) - F.col("o")
     bounded = candidates.filter((start >= 0) & (start + F.col("len") <= F.col("n")) & (begin >= 0) & (begin + length <= F.size("sids")))
@@ -129,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return F.aggregate(F.sort_array(spans), zero, step)["hit"]
 
     hits = verified.groupBy("row").agg(cover(F.collect_set(F.struct("s", "len"))).alias("n_hit"), F.collect_set("wid").alias("wids"))
-    items = hits.select("row", F.explode("wids").alias("wid")).join(_prefix_sized(owners, owners.count()), "wid")
+    items = hits.select("row", F.explode("wids").alias("wid")).join(_sized(owners, _small(owners, "item")), "wid")
     items = items.select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     full = per_doc.select("row", "doc_id", "text_hash", "n").join(hits.select("row", "n_hit"), "row", "left").join(items, "row", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))

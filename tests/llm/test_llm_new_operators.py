@@ -9,9 +9,10 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import align, packing, queries, repair_turns
+from folioframe.llm import align, decontam, packing, queries, repair_turns, simhash
 
 SF = "/root/testdata/sf0.001"
 BYTES, PIECES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -319,3 +320,30 @@ def test_neighbours_share_sequences():
 
 def test_shard_plan():
     assert packing.shard_plan([(1, 3), (2, 3), (3, 25), (4, 5), (9, 6)], 10) == [(1, 0, 1), (2, 0, 1), (3, 1, 3), (4, 4, 1), (9, 5, 1)]
+
+
+# mended operators
+
+
+def test_one_id_with_unlike_texts(spark):
+    """Rows that share a doc_id are rows of their own: nothing that is linked with nothing is dropped."""
+    a, b, c = "the quick brown fox jumps over the lazy dog", "completely different words stand in this other row", "and a third one about rivers and their banks"
+    rows = [(1, a), (1, b), (2, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted(rows)
+    assert {r.component_id for r in simhash.simhash_components(df).collect() if r.doc_id == 2} == {2}
+    more = df.unionByName(spark.createDataFrame([(5, a), (None, b), (None, "nothing like the others at all here")], df.schema))
+    assert sorted(map(repr, map(tuple, simhash.keep_one(more).collect()))) == sorted(map(repr, [*rows, (None, "nothing like the others at all here")]))
+    named = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(more).collect()}
+    assert sorted(repr((d, c)) for d, _, c in named) == sorted(map(repr, [(1, 1), (1, 1), (2, 2), (5, 1), (None, 1), (None, None)]))
+
+
+@pytest.mark.parametrize("rows", [0, 400_000])
+def test_long_contaminated_document(spark, monkeypatch, rows):
+    """Every word of a long document is hit, on the broadcast path and the shuffled one; blocks lose no window at their borders."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(1)
+    item = [f"w{i}" for i in rng.permutation(4000)]
+    docs = spark.createDataFrame([(1, " ".join(item * 4)), (2, " ".join(item[50:63])), (3, " ".join(item[50:62])), (4, " ".join(["x"] * 300 + item[:40]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (16_000, 16_000, True), 2: (13, 13, True), 3: (12, 0, False), 4: (340, 40, True)}

@@ -81,6 +81,36 @@ def project(points: Column, m: list[float]) -> Column:
     return F.transform(points, to)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), where value is computed once however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _from_square(c: Column) -> list[Column]:
+    """The nine coefficients that take the unit square's corners (around from the origin) to four points."""
+    x, y = ([F.get(c, F.lit(i))[k].cast("double") for i in range(4)] for k in ("x", "y"))
+    sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
+    ux, uy, vx, vy = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
+    turn = ux * vy - vx * uy
+    g, h = F.try_divide(sx * vy - vx * sy, turn), F.try_divide(ux * sy - sx * uy, turn)
+    return [x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0], g, h, F.lit(1.0)]
+
+
+def perspective(source: Column, target: Column) -> Column:
+    """The nine coefficients, row by row and the last one 1, of the projective map that takes four points to four others, both in order around: through
+    the unit square, whose map to four points has a closed form. Null where three points of a side lie on a line or a point is null."""
+
+    def solved(m):
+        a, b, c, d, e, f, g, h, i = (m["s"][k] for k in range(9))
+        # the adjugate of the source's map undoes it, up to a factor
+        back = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+        both = F.array(*[sum((m["t"][3 * r + k] * back[3 * k + j] for k in range(1, 3)), m["t"][3 * r] * back[j]) for r in range(3) for j in range(3)])
+        return let(both, lambda n: F.transform(n, lambda v: F.try_divide(v, n[8])))
+
+    whole = let(F.struct(F.array(*_from_square(source)).alias("s"), F.array(*_from_square(target)).alias("t")), solved)
+    return let(whole, lambda m: F.when(F.forall(m, lambda v: v.isNotNull()), m))
+
+
 def clip(v: Column, low: Column | int, high: Column | int) -> Column:
     return F.greatest(F.least(v, high if isinstance(high, Column) else F.lit(high)), low if isinstance(low, Column) else F.lit(low))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import deskew, predict, regions
+from ..operators import deskew, predict, regions, straighten
 from ..sources import files, records
 from .archive import OVERLAP, RECTS_SQL, load, page_tables, query
 
@@ -79,6 +79,62 @@ def label_lookup(spark, sf_dir):
     return regions.first_of_label(load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("label")), offsets)
 
 
+CORNERS = {"tl": ("x % 50", "y % 40"), "tm": ("400 + x % 30", "y % 35"), "tr": ("900 + w % 40", "h % 50"), "bl": ("x % 45", "600 + y % 50"), "bm": ("410 + w % 30", "620 + h % 40"), "br": ("880 + x % 60", "610 + w % 45")}
+
+
+def _openings(spark, sf_dir):
+    """An opening of 1000 by 700 pixels for each rectangle, with six points from its numbers."""
+    points = F.struct(*[F.struct(F.expr(x).cast("int").alias("x"), F.expr(y).cast("int").alias("y")).alias(n) for n, (x, y) in ((n, CORNERS[n]) for n in straighten.POINTS)])
+    return page_tables(spark, sf_dir).select((F.col("page") * 100 + F.col("ord")).alias("opening"), F.lit(1000).alias("width"), F.lit(700).alias("height"), points.alias("points"))
+
+
+def _cross(a, b, name):
+    return f"{a}2 * {b}3 - {a}3 * {b}2 AS {name}1, {a}3 * {b}1 - {a}1 * {b}3 AS {name}2, {a}1 * {b}2 - {a}2 * {b}1 AS {name}3"
+
+
+def _half_sql(names, wide, px, py, offset):
+    """A point's place in the straightened half by its distances to the edges and to the line on which opposite edges meet, in homogeneous coordinates."""
+    corner = ", ".join(f"CAST({CORNERS[n][0]} AS DOUBLE) AS {c}1, CAST({CORNERS[n][1]} AS DOUBLE) AS {c}2, 1.0 AS {c}3" for c, n in zip("abcd", names))
+    dot = lambda line, x, y, z: f"({line}1 * {x} + {line}2 * {y} + {line}3 * {z})"
+    place = lambda edge, c: f"{dot(edge, px, py, 1)} / {dot('o', px, py, 1)} * {dot('o', c + '1', c + '2', c + '3')} / {dot(edge, c + '1', c + '2', c + '3')}"
+    high = f"({CORNERS['bm'][1]} - ({CORNERS['tm'][1]}))"
+    return f"""SELECT page * 100 + ord AS opening, round({offset} + ({wide}) * {place("l", "b")}, 4) AS px, round({high} * {place("t", "d")}, 4) AS py FROM (SELECT *, {_cross("m", "n", "o")} FROM (SELECT *, {_cross("l", "r", "m")}, {_cross("t", "u", "n")} FROM
+  (SELECT *, {_cross("a", "d", "l")}, {_cross("b", "c", "r")}, {_cross("a", "b", "t")}, {_cross("d", "c", "u")} FROM (SELECT page, ord, x, y, w, h, {corner} FROM r0))))"""
+
+
+LEFT_WIDE, RIGHT_WIDE = f"({CORNERS['tm'][0]}) - ({CORNERS['tl'][0]})", f"({CORNERS['tr'][0]}) - ({CORNERS['tm'][0]})"
+
+
+@query(f"""WITH r0 AS ({RECTS_SQL}), a AS ({_half_sql(("tl", "tm", "bm", "bl"), LEFT_WIDE, 300, 310, "0")}), b AS ({_half_sql(("tm", "tr", "br", "bm"), RIGHT_WIDE, 700, 320, LEFT_WIDE)})
+SELECT a.opening AS opening, a.px AS left_x, a.py AS left_y, b.px AS right_x, b.py AS right_y FROM a JOIN b ON a.opening = b.opening""")
+def straightened_points(spark, sf_dir):
+    """Perspectives of both halves solved from six points, and a point of each half moved by them."""
+    t = F.col("t")
+    at = lambda x, y: deskew.deskewed_point(F.lit(float(x)), F.lit(float(y)), t["left_outline"], t["right_outline"], t["left"], t["right"], t["offset"])
+    moved = _openings(spark, sf_dir).withColumn("t", straighten.transforms(F.col("points"))).select("opening", at(300, 310).alias("a"), at(700, 320).alias("b"))
+    return moved.select("opening", *[F.round(F.col(p)[c], 4).alias(f"{side}_{c}") for p, side in (("a", "left"), ("b", "right")) for c in ("x", "y")])
+
+
+ANGLE = "degrees(atan2({b} - ({t}), {bx} - ({tx}))) - 90"
+
+
+@query(f"""WITH r AS ({RECTS_SQL}), p AS (SELECT page * 100 + ord AS opening, {", ".join(f"{x} AS {n}x, {y} AS {n}y" for n, (x, y) in CORNERS.items())}, x % 61 - 30 AS dx, y % 5 AS dy, w % 83 - 40 AS ex, page % 3 > 0 AS found FROM r),
+a AS (SELECT *, found AND {ANGLE.format(b="bmy", t="tmy + dy", bx="bmx", tx="tmx + dx")} BETWEEN -3.733 AND 4.375 AS ok FROM p),
+b AS (SELECT *, CASE WHEN ok THEN tmx + dx ELSE tmx END AS ux, CASE WHEN ok THEN tmy + dy ELSE tmy END AS uy FROM a),
+c AS (SELECT *, found AND {ANGLE.format(b="bmy", t="uy", bx="bmx + ex", tx="ux")} BETWEEN -3.733 AND 4.375 AS low FROM b)
+SELECT opening, CAST(ux AS INTEGER) AS top_x, CAST(uy AS INTEGER) AS top_y, CAST(CASE WHEN low THEN bmx + ex ELSE bmx END AS INTEGER) AS bottom_x, CASE WHEN NOT found THEN '' WHEN ok AND low THEN '' WHEN ok THEN 'bm' WHEN low THEN 'tm' ELSE 'tm,bm' END AS refused FROM c""")
+def second_points(spark, sf_dir):
+    """Points corrected by a second model, where the edge's angle allows it."""
+    pages = _openings(spark, sf_dir).join(page_tables(spark, sf_dir).select((F.col("page") * 100 + F.col("ord")).alias("opening"), "page", "x", "y", "w"), "opening")
+    asked = straighten.zooms(pages, "opening").join(pages.filter("page % 3 > 0").select("opening", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("w").alias("_w")), "opening")
+    # the lower square is mirrored: what it adds to y comes off
+    dx = F.when(F.col("name") == "tm", F.col("_x") % 61 - 30).otherwise(F.col("_w") % 83 - 40)
+    hits = asked.filter("name IN ('tm', 'bm')").select("opening", "name", F.lit(1).alias("ord"), F.lit("midpoint").alias("class"), (F.col("px") + dx).cast("double").alias("x"), (F.col("py") + F.when(F.col("name") == "tm", F.col("_y") % 5).otherwise(0)).cast("double").alias("y"))
+    other = hits.select("opening", "name", F.lit(0).alias("ord"), F.lit("corner").alias("class"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    out = straighten.second_points(pages, hits.unionByName(other), "opening")
+    return out.select("opening", F.col("points.tm.x").alias("top_x"), F.col("points.tm.y").alias("top_y"), F.col("points.bm.x").alias("bottom_x"), F.array_join("refused", ",").alias("refused"))
+
+
 @query(f"""WITH r AS ({RECTS_SQL}), k AS (SELECT page, ord, w % 7 AS tl, 300 + x AS tm, 900 + w AS tr, h AS bm FROM r)
 SELECT page, CAST(ord AS INTEGER) AS ord, round(CASE WHEN ord % 5 = 0 THEN 0 WHEN ord % 5 = 1 THEN 1 ELSE (tm - tl) / (tr - tl) END, 9) AS straight, round(CASE WHEN ord % 5 = 0 THEN 0 WHEN ord % 5 = 1 THEN 1 ELSE (tm + bm) / 2 / 2000 END, 9) AS original FROM k""")
 def keypoint_middles(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Zip archives and workbooks as rows, without temporary folders."""
+"""Zip archives and workbooks as rows, read where they lie."""
 
 from __future__ import annotations
 
@@ -6,56 +6,92 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks, storage, zip_ranges
+
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def zip_members(spark: SparkSession, path: str, holds: str = "", suffix: str = "") -> DataFrame:
-    """(archive, name, content) of the members whose name holds a text and ends in a suffix; archives are read where they lie."""
+#: Bytes of archives for which there is a task.
+TASK_BYTES = 64 << 20
+_ENTRY = "archive string, name string, offset long, packed long, size long, method int, crc long, flags int"
+
+
+def archive_entries(spark: SparkSession, path: str, archives: list[str] | None = None) -> DataFrame:
+    """(archive, name, offset, packed, size, method, crc, flags) of all members of the archives under a path; of those whose file name holds one of the texts, if
+    any are given. Only the directories at the archives' ends are read."""
 
     def run(batches):
         for batch in batches:
-            for archive, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir() and holds in info.filename and info.filename.endswith(suffix):
-                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], ["archive", "name", "content"])
+            for archive, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with storage.open_for_read(archive) as source:
+                    for found in batched(zip_ranges.entries(source, length), 10_000):
+                        columns = [[archive] * len(found), *zip(*found)]
+                        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["archive", *zip_ranges.Entry._fields])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, name string, content binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    if archives:
+        name = F.element_at(F.split("path", "/"), -1)
+        files = files.filter(F.exists(F.array(*map(F.lit, archives)), lambda a: F.contains(name, a)))
+    return files.repartition("path").mapInArrow(run, _ENTRY)
 
 
-def write_zips(members: DataFrame, folder: str) -> DataFrame:
-    """Writes members(archive, name, content) into folder/archive.zip and returns (archive, members, file). An archive is written by one task, member after member; a task
-    that runs again writes under a new name first, so a file is always whole. The folder is one that all tasks reach by this path; null contents are empty."""
-    import os
-    import uuid
+def zip_members(spark: SparkSession, path: str, holds: str = "", suffix: str = "", archives: list[str] | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(archive, name, content) of the members whose name holds a text and ends in a suffix.
+
+    Members are dealt over tasks, one for each task_bytes of all archives, whatever archive they lie in, and read by range in the order in which they
+    lie: a task holds one member. A damaged archive or member stops the query.
+    """
 
     def run(batches):
-        open_, name, count, target = None, None, 0, None
-
-        def close():
-            open_.close()
-            os.replace(target, f"{folder}/{name}.zip")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([f"{folder}/{name}.zip"])], ["archive", "members", "file"])
-
-        for batch in batches:  # sorted by archive
-            for archive, member, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if archive != name:
-                    if open_ is not None:
-                        yield close()
-                    name, count, target = archive, 0, f"{folder}/.{archive}-{uuid.uuid4().hex}"
-                    open_ = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
-                open_.writestr(member, content or b"")
-                count += 1
-        if open_ is not None:
-            yield close()
-
-    return members.select("archive", "name", "content").repartition("archive").sortWithinPartitions("archive", "name").mapInArrow(run, "archive string, members long, file string")
+        opened, source = None, None
+        for batch in batches:
+            for archive, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if archive != opened:
+                    if source is not None:
+                        source.close()
+                    opened, source = archive, storage.open_for_read(archive)
+                found = zip_ranges.Entry(*entry)
+                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([found.name]), pa.array([zip_ranges.read_member(source, found)], pa.binary())], ["archive", "name", "content"])
+        if source is not None:
+            source.close()
+
+    held = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0] or 0
+    wanted = archive_entries(spark, path, archives).filter(F.contains("name", F.lit(holds)) & F.endswith("name", F.lit(suffix)))
+    dealt = wanted.repartition(min(max(1, -(-held // task_bytes)), 10_000), "archive", "offset").sortWithinPartitions("archive", "offset")
+    return dealt.mapInArrow(run, "archive string, name string, content binary")
+
+
+def write_zips(members: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Writes members(archive, name, content) into folder/archive.zip, members by name, and returns (archive, members, file) of what lies there. An archive is written by one
+    task, member after member; none appears before all are written, and what failed attempts left is removed. Null contents are empty. With
+    `overwrite` the folder holds nothing else afterwards."""
+    sinks.write_archives(members, folder, overwrite)
+    return archive_entries(members.sparkSession, folder).groupBy(F.col("archive").alias("file")).agg(F.count(F.lit(1)).alias("members")).select(name_of(F.col("file")).alias("archive"), "members", "file")
+
+
+def name_of(file: Column) -> Column:
+    """An archive's name without folder and extension."""
+    return F.regexp_extract(file, r"([^/]*?)(\.zip)?$", 1)
+
+
+def rezipped(spark: SparkSession, path: str, folder: str, change, archives: list[str] | None = None) -> DataFrame:
+    """Archives under a path with their members changed: change() gets (archive, name, content), archive without folder and extension, and returns the same columns,
+    which are written to `folder` in place of what lies there. Returns as write_zips()."""
+    members = zip_members(spark, path, archives=archives)
+    return write_zips(change(members.withColumn("archive", name_of(F.col("archive")))), folder, overwrite=True)
+
+
+def split_by_folder(spark: SparkSession, path: str, folder: str, holds: str = "") -> DataFrame:
+    """An archive for each folder on top of the archives under a path, with the members whose name holds a text. Returns as write_zips()."""
+    found = zip_members(spark, path, holds=holds).filter(F.contains("name", F.lit("/")))
+    return write_zips(found.select(F.get(F.split("name", "/"), F.lit(0)).alias("archive"), "name", "content"), folder)
 
 
 def top_folders(members: DataFrame) -> DataFrame:

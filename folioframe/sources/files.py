@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, stem, folder, length) of the files below a folder; contents are not read."""
@@ -70,6 +72,33 @@ def context_files(target: DataFrame, others: DataFrame, n: int, seed: int = 42)
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).select("book_id", "path")
 
 
+def evaluation_pairs(annotated: DataFrame, actual: DataFrame) -> DataFrame:
+    """(path, name, kind, status, actual, target) for each annotated document: the one classified document of the same parish, doctype, years, source and page, and
+    where both go below an evaluation tree (the last six parts of the classified one's path).
+
+    Both sides are (path, name). kind is the folder four levels up the annotated path. Status: `pair`; `no name` where the name has no such parts; `missing` and `several` by
+    the number of classified documents; `no kind` where the folder is neither printed nor handdrawn.
+    """
+    parts = ["parish", "doctype", "year_range", "source", "page_number"]
+    meta = t.file_meta(F.col("name"))
+    keyed = lambda df: df.select("path", "name", *[meta[p].alias(p) for p in parts])
+    folders = F.split("path", "/")
+    classified = keyed(actual.filter((F.get(folders, F.size(folders) - 2) == "pageTextClassified") & F.startswith("name", F.lit("autods_"))))
+    found = classified.filter("parish IS NOT NULL").groupBy(*parts).agg(F.min("path").alias("actual"), F.count(F.lit(1)).alias("_n"))
+    joined = keyed(annotated).join(found, parts, "left")
+    kind = F.get(folders, F.size(folders) - 4)
+    status = F.when(F.col("parish").isNull(), "no name").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "several").when(~kind.isin("printed", "handdrawn"), "no kind").otherwise("pair")
+    target = F.array_join(F.slice(F.split("actual", "/"), -6, 6), "/")
+    return joined.select("path", "name", kind.alias("kind"), status.alias("status"), "actual", target.alias("target"))
+
+
+def evaluation_files(pairs_: DataFrame) -> DataFrame:
+    """(name, source): the copies that make the evaluation tree of evaluation_pairs(), for sinks.write_files()."""
+    found = pairs_.filter("status = 'pair'")
+    place = lambda side: F.concat_ws("/", "kind", F.lit(side), "target").alias("name")
+    return found.select(place("annotated"), F.col("path").alias("source")).unionByName(found.select(place("actual"), F.col("actual").alias("source")))
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     """wanted, or with _1, _2 ... before its extension, so that it is not taken."""
     stem, dot, end = wanted.rpartition(".") if "." in wanted else (wanted, "", "")

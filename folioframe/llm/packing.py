@@ -8,23 +8,27 @@ the next seed. What a shard has left at its end is cut into sequences of powers
 
 from __future__ import annotations
 
+import re
 from functools import partial
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_count import byte_symbols
 from .common import giving_back, held, slices, written
-from .segments import Ragged, SegmentTable, flat, words_of
+from .segments import Ragged, SegmentTable, even_words, flat
 
 WINDOW = 4096
 #: Passages of a shard, about; its index stays below this many times a window.
 SHARD_ROWS = 4096
 #: BM25's parameters; the tokens of a seed that are looked up, by weight; the neighbours that are ranked for it.
 K1, B, QUERY_TOKENS, NEIGHBOURS = 1.2, 0.75, 24, 64
-_STORED = "<u4"
+#: Ids as they are given out, and as they are kept where they fit.
+GIVEN, SHORT = "<u4", "<u2"
 
 
 class WordEncoder:
@@ -35,6 +39,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ids = Ragged(np.uint32)
@@ -42,41 +47,59 @@ class WordEncoder:
 
     def _learn(self, segments: list[str]) -> None:
         found: list = [None] * len(segments)
-        rest = []
+        rest, tokenize, stops, symbols = [], self.model.tokenize, self.stops, self.symbols
         for i, s in enumerate(segments):
-            if s.isascii() and s.isalpha():  # lower-cased already where that is all the normalizer does
-                found[i] = [t.id for t in self.model.tokenize(s.lower())]
-            else:
-                rest.append(i)
+            if s.isascii():  # letters, and a stop or comma behind them, are pieces of the pattern that the model takes at once
+                if s.isalpha():
+                    found[i] = [t.id for t in tokenize(s.lower())]
+                    continue
+                if s[-1] in stops and s[:-1].isalpha():
+                    found[i] = [t.id for t in tokenize(s[:-1].lower())] + stops[s[-1]]
+                    continue
+            elif s.isalpha() and s.islower() and is_normalized("NFC", s):
+                found[i] = [t.id for t in tokenize("".join([symbols[b] for b in s.encode()]))]
+                continue
+            rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
             found[i] = e.ids
         self.ids.extend(*flat(found))
 
-    def _segments(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        words = words_of(text)
-        if words is None or any(s in text for s in self.special):
-            return [" " + text]  # white space in front changes nothing, and no word begins so
-        return words
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        found = [self.ids.take(rows)[0] for rows in self.table.rows([self._segments(t) for t in texts])]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array."""
+        # the normalizer makes letters small: where that is plain, words are remembered so
+        special = pc.fill_null(pc.match_substring_regex(texts, "|".join(map(re.escape, self.special))), False) if self.special else pa.array(np.zeros(len(texts), bool))
+        small = pc.if_else(pc.and_(pc.fill_null(pc.string_is_ascii(texts), False), pc.invert(special)), pc.ascii_lower(texts), texts)
+        # a stop or comma between a letter and a space is a piece of its own: words are remembered without
+        apart = pc.replace_substring_regex(small, r"([A-Za-z])([.,])([ \n]|\z)", r"\1 \2\3")
+        words, sizes, uneven = even_words(pc.if_else(special, pa.scalar(None, texts.type), apart))
+        ids, lengths = self.ids.take(self.table.rows_of(words))
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))].tolist()
+        found = [ids[a:b] for a, b in zip(ends, ends[1:])]
         self.table.settle()
+        for i in np.flatnonzero(uneven | special.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return found
 
 
+def kept(path: str, end_id: int) -> str:
+    """The kind of integers in which a tokenizer's ids are kept until they are packed."""
+    from tokenizers import Tokenizer
+
+    return SHORT if max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id) < 1 << 16 else GIVEN
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, doc_tokens, ids) of docs(doc_id, text): the ids of each row with end_id, cut into windows of which the last may be shorter.
-    ids are little-endian unsigned 32-bit integers. One pass, no shuffle."""
+    ids are kept() integers. One pass, no shuffle."""
+    kind = kept(path, end_id)
 
     def run(batches):
         own = held(("pack", path), partial(WordEncoder, path))
         for whole in batches:
-            for batch in slices(whole, 1, 1 << 20):
+            for batch in slices(whole, 1, 4 << 20):
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
-                    ids = np.append(ids, end_id).astype(_STORED)
+                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
+                    ids = np.append(ids, end_id).astype(kind)
                     rows += [(doc, at, len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "doc_tokens", "ids"])
@@ -85,29 +108,34 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) ->
 
 
 class Statistics:
-    """Of all passages: how many there are, their mean length, and how many hold each token (bounded by the vocabulary)."""
+    """Of all passages, whose ids are integers of a kind: how many there are, their mean length, and how many hold each token (bounded by the vocabulary)."""
 
-    def __init__(self, passages: int, tokens: int, frequency: np.ndarray):
+    def __init__(self, passages: int, tokens: int, frequency: np.ndarray, kind: str = GIVEN):
+        self.kind, self.size = kind, np.dtype(kind).itemsize
         self.mean = tokens / max(passages, 1)
         self.idf = np.log(1 + (passages - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
 
+    def bag(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return _bag(ids, self.kind)
+
     def weights(self, tokens: np.ndarray, times: np.ndarray) -> np.ndarray:
         """BM25 weights of the distinct tokens of one passage."""
         return self.idf[tokens] * (times * np.float32(K1 + 1) / (times + np.float32(K1 * (1 - B + B * times.sum() / self.mean))))
 
 
-def _bag(ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _bag(ids: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of a passage and how often each stands there."""
-    tokens, times = np.unique(np.frombuffer(ids, _STORED), return_counts=True)
-    return tokens, times.astype(np.float32)
+    found = np.sort(np.frombuffer(ids, kind))
+    at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    return found[at], np.diff(at, append=len(found)).astype(np.float32)
 
 
-def statistics(passages: DataFrame) -> Statistics:
+def statistics(passages: DataFrame, kind: str) -> Statistics:
     def run(batches):
         frequency = np.zeros(0, np.int64)
         for batch in batches:
-            found, _ = zip(*map(_bag, batch.column(0).to_pylist())) if len(batch) else ([], [])
-            for tokens in found:
+            for ids in batch.column(0).to_pylist():
+                tokens, _ = _bag(ids, kind)
                 if tokens[-1] >= len(frequency):
                     frequency = np.append(frequency, np.zeros(int(tokens[-1]) + 1, np.int64))
                 frequency[tokens] += 1
@@ -118,13 +146,13 @@ def statistics(passages: DataFrame) -> Statistics:
     found = passages.select("ids").mapInArrow(giving_back(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(int(found["token"].max()) + 1 if len(found) else 1, np.int64)
     frequency[found["token"].to_numpy()] = found["n"].to_numpy()
-    return Statistics(rows, (tokens or 0) // 4, frequency)
+    return Statistics(rows, (tokens or 0) // np.dtype(kind).itemsize, frequency, kind)
 
 
 def _topics(known: Statistics):
     def run(batches):
         for batch in batches:
-            found = [int(tokens[np.argmax(known.weights(tokens, times))]) for tokens, times in map(_bag, batch.column(0).to_pylist())]
+            found = [int(tokens[np.argmax(known.weights(tokens, times))]) for tokens, times in map(known.bag, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "topic"])
 
     return run
@@ -151,7 +179,7 @@ class Index:
     """The inverted index of a shard: for each token the passages that hold it and its weight in each."""
 
     def __init__(self, passages: list[bytes], known: Statistics):
-        bags = list(map(_bag, passages))
+        bags = list(map(known.bag, passages))
         self.weights_of = [known.weights(*b) for b in bags]
         self.tokens_of = [t for t, _ in bags]
         sizes = np.fromiter(map(len, self.tokens_of), np.int64, len(bags))
@@ -180,7 +208,7 @@ class Index:
 
 def pack(passages: list[bytes], known: Statistics, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (passage, start in it, length). All but the last ones are full; those have lengths of powers of two."""
-    index, sizes = Index(passages, known), [len(p) // 4 for p in passages]
+    index, sizes = Index(passages, known), [len(p) // known.size for p in passages]
     sequences, piece, unused = [], None, iter(range(len(passages)))
     now, room = [], window
 
@@ -235,14 +263,14 @@ _NAMES = [f.split()[0] for f in _PIECES.split(", ")]
 
 
 def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The pieces of all sequences of docs(doc_id, text): doc_id, start (ids of the row before it), length, doc_tokens, sequence_id, offset and ids.
+    """The pieces of all sequences of docs(doc_id, text): doc_id, start (ids of the row before it), length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit integers).
 
     Null and empty texts are an end id alone; null ids and repeated rows stay as they are, each row packed for itself; other columns are not read; an empty
     table gives no pieces. Equal scores are taken in the order of doc_id, start and ids. A row's ids are cut at windows, and where a window is full.
     """
     stored = written(tokenized(docs, path, end_id, window), "pack-ids")
-    known = statistics(stored)
-    full = F.octet_length("ids") == 4 * window
+    known = statistics(stored, kept(path, end_id))
+    full = F.octet_length("ids") == known.size * window
     short = stored.filter(~full)
     topics = short.select("ids").mapInArrow(giving_back(_topics(known)), "ids binary, topic long").groupBy("topic").count()
     plan = shard_plan([tuple(r) for r in topics.collect()], shard_rows)  # a row for each token of the vocabulary at most
@@ -254,10 +282,17 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_
     def dealt(batches):
         for batch in batches:
             ids = batch.column(3).to_pylist()
-            topic = np.fromiter((tokens[np.argmax(known.weights(tokens, times))] for tokens, times in map(_bag, ids)), np.int64, len(ids))
+            topic = np.fromiter((tokens[np.argmax(known.weights(tokens, times))] for tokens, times in map(known.bag, ids)), np.int64, len(ids))
             spread = batch.column(4).to_numpy().view(np.uint64) % width[topic].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first[topic] + spread.astype(np.int64))], [*batch.schema.names[:4], "shard"])
 
+    def given(ids: bytes) -> bytes:
+        return np.frombuffer(ids, known.kind).astype(GIVEN).tobytes()
+
+    def widened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(given, batch.column(6).to_pylist()), pa.binary())], _NAMES)
+
     def run(batches):
         shard, rows = None, []
 
@@ -267,7 +302,7 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_
                 offset = 0
                 for i, start, length in sequence:
                     doc, before, total, ids = rows[i]
-                    out.append((doc, before + start, length, total, shard << 32 | k, offset, ids[4 * start : 4 * (start + length)]))
+                    out.append((doc, before + start, length, total, shard << 32 | k, offset, given(ids[known.size * start : known.size * (start + length)])))
                     offset += length
             for at in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 1000]), _KINDS)], _NAMES)
@@ -287,7 +322,7 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_
     by_shard = keyed.mapInArrow(giving_back(dealt), "doc_id long, start long, doc_tokens long, ids binary, shard long").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "start", "ids")
     whole = stored.filter(full).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id())
     whole = whole.select("doc_id", "start", F.lit(window).cast("long").alias("length"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
-    return by_shard.mapInArrow(giving_back(run), _PIECES).unionByName(whole)
+    return by_shard.mapInArrow(giving_back(run), _PIECES).unionByName(whole.mapInArrow(giving_back(widened), _PIECES))
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bpe_count import even_space
 
 #: Segments a table keeps from batch to batch, and the characters they may have on average. The first ones seen are the frequent ones.
-KEPT, KEPT_CHARS = 400_000, 24
+KEPT, KEPT_CHARS = 500_000, 24
 
 
 def words_of(text: str) -> list[str] | None:
@@ -23,6 +25,20 @@ def words_of(text: str) -> list[str] | None:
     return text.replace("\n", " \n").split(" ") if even_space(text) else None
 
 
+#: White space of any kind that is no single space or line feed between two words, in the words of a regular expression.
+UNEVEN = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+
+
+def even_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(all words one behind the other, the words of each text, whether its white space is not even: such a text gives none). Null and empty texts
+    have no words. As words_of(), for a batch at once."""
+    uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False)
+    none = pc.or_(uneven, pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
+    lists = pc.split_pattern(pc.replace_substring(pc.if_else(none, pa.scalar(None, texts.type), texts), "\n", " \n"), " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten(), sizes, uneven.to_numpy(zero_copy_only=False)
+
+
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(all values, number of values of each list)."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -61,17 +77,29 @@ class SegmentTable:
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The numbers of the segments of each text."""
-        index, fresh = self.index, []
+        get, index, fresh = self.index.get, self.index, []
+        found = []
         for segments in texts:
-            for s in segments:
-                if s not in index:
-                    index[s] = len(index)
-                    fresh.append(s)
+            numbers = list(map(get, segments))
+            if None in numbers:
+                for i, n in enumerate(numbers):
+                    if n is None:
+                        s = segments[i]
+                        n = numbers[i] = index.setdefault(s, len(index))
+                        if n == len(self.names) + len(fresh):
+                            fresh.append(s)
+            found.append(np.array(numbers, np.int64))
         if fresh:
             self.learn(fresh)
             self.names += fresh
             self.chars += sum(map(len, fresh))
-        return [np.fromiter(map(index.__getitem__, segments), np.int64, len(segments)) for segments in texts]
+        return found
+
+    def rows_of(self, segments: pa.Array) -> np.ndarray:
+        """The numbers of the segments of a whole batch; each different one is looked up once."""
+        coded = segments.dictionary_encode()
+        (numbers,) = self.rows([coded.dictionary.to_pylist()])
+        return numbers[coded.indices.to_numpy()]
 
     def settle(self) -> None:
         """Between batches: goes back to the first segments when there are too many or too long ones."""

@@ -34,10 +34,11 @@ def _named(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_empty(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
-    """Tables of which every cell is empty and whose width is wrong become one empty row of the right width."""
+    """Tables of which every cell is empty and whose width is wrong become one empty row of the right width, with nulls in other columns."""
     wrong = _sized(cells, plans, keys).filter("blank AND n <> expected AND expected > 0")
-    kept = cells.join(wrong.select(*keys), keys, "left_anti").select(*keys, "row", "col", "text")
-    return kept.unionByName(wrong.select(*keys, F.lit(0).alias("row"), F.explode(F.sequence(F.lit(0), F.col("expected") - 1)).alias("col"), F.lit("").alias("text")))
+    kept = cells.join(wrong.select(*keys), keys, "left_anti")
+    blank = wrong.select(*keys, F.lit(0).alias("row"), F.explode(F.sequence(F.lit(0), F.col("expected") - 1)).alias("col"), F.lit("").alias("text"))
+    return kept.unionByName(blank, allowMissingColumns=True)
 
 
 def surplus(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def surplus(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def remove_surplus(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
-    return grid.remove_columns(cells, keys, surplus(cells, plans, keys)).select(*keys, "row", "col", "text")
+    return grid.remove_columns(cells, keys, surplus(cells, plans, keys))
 
 
 def pad(cells: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def merge_cells(cells: DataFrame, boxes: DataFrame, page: str, table: str, gap:
     """cells(page, table, row, col, text) with the cells of two tables side by side put together where a page should have one.
 
     boxes(page, table, x, w, page_width, expected): the right table's columns follow the left one's, rows meet by number, and what is missing
-    stays missing; the left table's name stays. Pages with another number of tables, and tables too far apart, stay as they are. Equal places go by name.
+    stays missing; the left table's name stays. Pages with another number of tables, and tables too far apart, stay as they are. Equal places go by name; other columns stay.
     """
     pair = boxes.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("x", table, "w"))).alias("ts"), F.max("page_width").alias("_w"), F.max("expected").alias("_e")).filter("size(ts) = 2 AND _e = 1")
     left, right = F.get("ts", F.lit(0)), F.get("ts", F.lit(1))
@@ -79,7 +80,8 @@ def merge_cells(cells: DataFrame, boxes: DataFrame, page: str, table: str, gap:
     width = cells.join(near.select(page, F.col("_left").alias(table)), [page, table], "left_semi").groupBy(page).agg((F.max("col") + 1).alias("_n"))
     joined = cells.join(near.join(width, page, "left"), page, "left")
     second = F.coalesce(F.col(table) == F.col("_right"), F.lit(False))
-    return joined.select(page, F.when(second, F.col("_left")).otherwise(F.col(table)).alias(table), "row", (F.col("col") + F.when(second, F.coalesce("_n", F.lit(0))).otherwise(0)).cast("int").alias("col"), "text")
+    placed = {table: F.when(second, F.col("_left")).otherwise(F.col(table)), "col": (F.col("col") + F.when(second, F.coalesce("_n", F.lit(0))).otherwise(0)).cast("int")}
+    return joined.withColumns(placed).select(*cells.columns)
 
 
 def longest_column(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import deskew, predict, regions, straighten
+from ..operators import deskew, lines, predict, regions, straighten
 from ..sources import files, records
 from .archive import OVERLAP, RECTS_SQL, load, page_tables, query
 
@@ -230,3 +230,49 @@ def literal_records(spark, sf_dir):
     line = F.concat(F.lit("{'k': "), k, F.lit(", 'name': 'None, True', 'done': "), F.when(F.col("event_id") % 2 == 0, "True").otherwise("False"), F.lit("}"))
     rows = load(spark, sf_dir, "events").select("event_id", F.from_json(records.literals(line), "k INT, name STRING, done BOOLEAN", {"allowSingleQuotes": "true"}).alias("r"))
     return rows.filter("r.name = 'None, True'").select("event_id", "r.k", "r.done")
+
+
+# ---- lines of tables ---------------------------------------------------------------------------
+
+UNIFORM = "(CAST('0x' || substr(md5('1:' || {0}), 1, 8) AS BIGINT) / 4294967296.0)"
+GRID_SQL = f"""g AS (SELECT o_orderkey AS tab, CAST(o_orderkey % 4 + 3 AS INTEGER) AS rows, CAST(o_orderkey % 3 + 4 AS INTEGER) AS cols FROM orders),
+gx AS (SELECT tab, row_number() OVER (PARTITION BY tab ORDER BY v, i) - 1 AS i, v FROM (SELECT tab, i, CAST(floor({UNIFORM.format("tab || ':x:' || i")} * 992 + 4) AS INTEGER) AS v FROM (SELECT tab, unnest(range(0, cols + 1)) AS i FROM g))),
+gy AS (SELECT tab, i, CAST(floor(4 + i * 1492.0 / rows) AS INTEGER) AS v FROM (SELECT tab, rows, unnest(range(0, rows + 1)) AS i FROM g)),
+gc AS (SELECT tab, r, c FROM (SELECT tab, r, unnest(range(0, cols)) AS c FROM (SELECT tab, cols, unnest(range(0, rows)) AS r FROM g)) WHERE {UNIFORM.format("tab || ':drop:' || r || ':' || c")} >= 0.1),
+gk AS (SELECT tab, r, c, unnest([0, 1, 2, 3]) AS k, unnest([0, 0, 1, 1]) AS dx, unnest([0, 1, 1, 0]) AS dy FROM gc),
+corners AS (SELECT gk.tab AS tab, r, c, k, gx.v + CAST(floor({UNIFORM.format("gk.tab || ':fx:' || r || ':' || c || ':' || k")} * 6) AS INTEGER) - 3 AS x, gy.v + CAST(floor({UNIFORM.format("gk.tab || ':fy:' || r || ':' || c || ':' || k")} * 6) AS INTEGER) - 3 AS y
+  FROM gk JOIN gx ON gx.tab = gk.tab AND gx.i = c + dx JOIN gy ON gy.tab = gk.tab AND gy.i = r + dy)"""
+
+
+def _grids(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(k.alias("tab"), (k % 4 + 3).cast("int").alias("rows"), (k % 3 + 4).cast("int").alias("cols"))
+
+
+@query(f"WITH {GRID_SQL} SELECT tab, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, string_agg(x || ',' || y, ' ' ORDER BY k) AS points FROM corners GROUP BY tab, r, c")
+def synthetic_grids(spark, sf_dir):
+    """A grid for each order, with noise and lost cells."""
+    cells = lines.grid_cells(_grids(spark, sf_dir), "tab", fuzz=3, drop=0.1)
+    return cells.select("tab", "row", "col", g.points_text(F.col("corners")).alias("points"))
+
+
+@query(f"WITH {GRID_SQL} SELECT tab, CAST(i AS INTEGER) AS line, v AS truth, true AS found FROM gy")
+def recovered_rows(spark, sf_dir):
+    """The lines between the rows of grids whose cells came loose, all tables in one pass, beside the lines of which they were made."""
+    grids = _grids(spark, sf_dir)
+    got = lines.lines_of(lines.grid_cells(grids, "tab", fuzz=3), ["tab"], most=12).filter("axis = 'y'").select("tab", F.posexplode("lines").alias("line", "at"))
+    truth = lines.grid_lines(grids, "tab", fuzz=3).select("tab", F.posexplode("ys").alias("line", "truth"))
+    return truth.join(got, ["tab", "line"], "full").select("tab", "line", "truth", F.coalesce(F.abs(F.col("at") - F.col("truth")) <= 3, F.lit(False)).alias("found"))
+
+
+@query(f"""WITH r AS ({RECTS_SQL}), b AS (SELECT page, ord, x, y, w, h, unnest([x + w // 3, x + w // 2, x - 5, x + w // 3]) AS cut FROM r),
+c AS (SELECT DISTINCT page, ord, y, h, v FROM (SELECT page, ord, y, h, cut AS v FROM b WHERE cut > x AND cut < x + w UNION ALL SELECT page, ord, y, h, x FROM r UNION ALL SELECT page, ord, y, h, x + w FROM r))
+SELECT page, CAST(ord AS INTEGER) AS ord, CAST(row_number() OVER (PARTITION BY page, ord ORDER BY v) - 1 AS INTEGER) AS part, round(CAST((u - v) * h AS DOUBLE), 6) AS area FROM (SELECT *, lead(v) OVER (PARTITION BY page, ord ORDER BY v) AS u FROM c) WHERE u IS NOT NULL""")
+def split_regions(spark, sf_dir):
+    """Regions split by borders, one after another; borders outside and repeated ones split nothing."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    border = lambda v: F.struct(v.alias("x1"), y.alias("y1"), v.alias("x2"), (y + h).alias("y2"))
+    third, middle = x + F.floor(w / 3), x + F.floor(w / 2)
+    parts = lines.split_region(F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h)), F.array(border(middle), border(third), border(x - 5), border(third)))
+    return page_tables(spark, sf_dir).select("page", "ord", F.posexplode(parts).alias("part", "p")).select("page", "ord", "part", F.round(lines.area(F.col("p")), 6).alias("area"))

@@ -89,3 +89,14 @@ def score_records(records: DataFrame, truths: DataFrame, keys: list[str], wrap_f
     best = F.greatest(*s)
     truth = F.when(s[0] == best, F.col("truth")).when(s[1] == best, F.col("_before")).otherwise(F.col("_after"))
     return joined.select(*keys, "row", "item", "extracted", truth.alias("truth"), best.alias("similarity"), (best == 1.0).alias("exact"), (best >= 0.4).alias("over_04"), (best >= 0.75).alias("over_075"))
+
+
+def result_view(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_xml, table_id, row_idx, texts, extracted_data): what was extracted beside the row of its table, records(source_xml, table_id, row_idx, extracted_data) and
+    rows(file_name, table_id, row, texts). Files meet by name, whatever folders and prefixes (`mands-`) a record names; rows without a record have null data, records
+    without a row are left out."""
+    bare = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), "^mands-", "")
+    said = records.select(bare("source_xml").alias("_f"), "source_xml", "table_id", F.col("row_idx").alias("row"), "extracted_data")
+    shown = rows.select(bare("file_name").alias("_f"), "table_id", "row", "texts")
+    of_table = said.select("_f", "table_id", F.col("source_xml").alias("_s")).distinct()
+    return shown.join(of_table, ["_f", "table_id"]).join(said.drop("source_xml"), ["_f", "table_id", "row"], "left").select(F.col("_s").alias("source_xml"), "table_id", F.col("row").alias("row_idx"), "texts", "extracted_data")

@@ -81,6 +81,21 @@ def generated_headers(rows: DataFrame, keys: list[str], predictor: Callable[[lis
     return grid.head(rows, keys, ["row"], n).groupBy(*keys).applyInPandas(run, f"{types}, headers array<string>")
 
 
+def parish_columns(rows: DataFrame, keys: list[str], predictor: Callable[[list[list[str]]], int], n: int = 5) -> DataFrame:
+    """(keys, col): the column that a model takes for the one of parishes, on seeing the first n rows of each table, rows(keys, row, texts); null where it finds none (-1) or one
+    that the table does not have."""
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [list(x) for x in pdf.sort_values("row")["texts"]]
+        col = int(predictor(texts))
+        out = pdf.head(1)[keys].copy()
+        out["col"] = pd.array([col if 0 <= col < len(texts[0]) else None], dtype="Int32")
+        return out
+
+    return grid.head(rows, keys, ["row"], n).groupBy(*keys).applyInPandas(run, f"{types}, col int")
+
+
 def common_width(tables: DataFrame, group: str) -> DataFrame:
     """tables(group, n_cols, ...) of the most common width of their group; of equally common widths the smallest."""
     counts = tables.groupBy(group, "n_cols").agg(F.count(F.lit(1)).alias("_n"))

@@ -70,9 +70,15 @@ def cell_corners(r: Column) -> Column:
     return F.array(point(r["x"], r["y"]), point(r["x"] + r["w"], r["y"]), point(r["x"] + r["w"], r["y"] + r["h"]), point(r["x"], r["y"] + r["h"]))
 
 
+def until_small(regions: DataFrame, doc: str) -> DataFrame:
+    """regions(doc, ord, points, ...) before the first one of each document, by ord, with fewer than four points: there the older reader stops."""
+    stop = regions.filter(F.size("points") < 4).groupBy(doc).agg(F.min("ord").alias("_stop"))
+    return regions.join(stop, doc, "left").filter("_stop IS NULL OR ord < _stop").drop("_stop")
+
+
 def coco(regions: DataFrame, classes: list[str]) -> DataFrame:
     """(keys..., category_id, segmentation, bbox): regions(..., ord, type, points) as COCO annotations: flat outlines, corners of the box, the class's place
-    in the list (null for others). Outlines of fewer than four points are left out."""
+    in the list (null for others). Outlines of fewer than four points are left out; until_small() leaves out all behind one too."""
     points = F.col("points")
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("type")).cast("int")

@@ -67,7 +67,7 @@ def merge_separated(tables: DataFrame, page: str, expected: str, page_width: Col
 
 
 def boxes(cells: DataFrame, *keys: str) -> DataFrame:
-    """The rectangle around the cells (x, y, w, h) of each group, for groups of tables with more than one cell."""
+    """The rectangle around the cells (x, y, w, h) of each group, and how many they are: groups of one cell too; page_xml.evaluation_boxes() leaves tables of one cell out."""
     return cells.groupBy(*keys).agg(
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.count(F.lit(1)).alias("n_cells")
     )

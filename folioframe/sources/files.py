@@ -63,6 +63,11 @@ def labelled_by_folder(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("folder").alias("label"))
 
 
+def label_counts(labelled: DataFrame) -> DataFrame:
+    """(label, n): how many files lie in the folder of each class."""
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def context_files(target: DataFrame, others: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(book_id, path): for each book of target(book_id) at most n of its files in others(book_id, path), by a seeded digest of the path."""
     from pyspark.sql import Window

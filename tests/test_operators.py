@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as g
 from folioframe.functions import text as t
-from folioframe.operators import extract, grid, layout, tables
+from folioframe.operators import extract, grid, layout, repair, tables
 
 
 def one(spark, column):
@@ -60,14 +60,16 @@ def test_columns(spark):
     cells = spark.createDataFrame([(1, i, j, v) for i, r in enumerate(rows) for j, v in enumerate(r)], "tab int, row int, col int, text string")
     name = grid.name_column(cells, ["tab"]).first()
     assert (name.name_col, name.name_score) == (2, 10.0)
-    gone = grid.surplus_columns(cells, ["tab"], expected=2, name_at=0)
+    plan = lambda *headers: spark.createDataFrame([(1, list(headers))], "tab int, headers array<string>")
+    gone = repair.surplus(cells, plan("nimi", "ikä"), ["tab"])
     assert sorted(r.col for r in gone.collect()) == [0, 1, 4]
     left = grid.to_rows(grid.remove_columns(cells, ["tab"], gone), ["tab"]).orderBy("row").collect()
     assert [r.texts for r in left] == [["Anna Maria", "x"], ["Johan Erik", "y"]]
-    padded = grid.to_rows(grid.pad_columns(cells.filter("col in (2, 3)").withColumn("col", F.col("col") - 2), ["tab"], 4, 1), ["tab"]).orderBy("row").collect()
+    narrow = cells.filter("col in (2, 3)").withColumn("col", F.col("col") - 2)
+    padded = grid.to_rows(repair.pad(narrow, plan("nro", "nimi", "ikä", "z"), ["tab"]), ["tab"]).orderBy("row").collect()
     assert padded[0].texts == ["", "Anna Maria", "x", ""]
-    wider = grid.to_rows(grid.insert_column(cells, ["tab"], 1, "new"), ["tab"]).orderBy("row").first()
-    assert wider.texts == ["", "new", "", "Anna Maria", "x", ""]
+    wider = grid.to_rows(repair.insert_empty_columns(cells, ["tab"], [1]), ["tab"]).orderBy("row").first()
+    assert wider.texts == ["", "", "", "Anna Maria", "x", ""]
 
 
 def test_dropped_tables_hide_nothing(spark):

@@ -2,8 +2,9 @@
 
 An archive has two stored (uncompressed) members: `archive/data.warc.gz`, one gzip member for each
 record, and `indexes/index.cdxj`, a line for each record with its offset and length. The reader finds the
-end record of the ZIP, its ZIP64 twin, the central directory and the local headers by itself, locates the members,
-and reads the records that the index names in ranges.
+end record of the ZIP, its ZIP64 twin, the central directory and the local headers by itself, locates all members below
+`indexes/` and the stored members that their lines name, and reads these records in ranges. So it also reads archives of others: with several
+data files, plain or packed indexes of either form, records that are not packed, data in front of the archive, and names of old writers.
 """
 
 from __future__ import annotations
@@ -80,19 +81,27 @@ class ZipIndex:
         if end < 0:
             raise ValueError("no end of central directory: not a ZIP archive")
         n, length, place = struct.unpack_from("<H2I", tail, end + 10)
-        if tail_at + end >= 20 and (locator := self._at(tail_at + end - 20, 20))[:4] == b"PK\6\7":
+        end_at = tail_at + end
+        if end_at >= 20 and (locator := self._at(end_at - 20, 20))[:4] == b"PK\6\7":
             (at,) = struct.unpack_from("<Q", locator, 8)
             record = self._at(at, 56)
+            if record[:4] != b"PK\6\6":
+                at = end_at - 20 - 56  # data stand in front: the record stands before its locator
+                record = self._at(at, 56)
             if record[:4] != b"PK\6\6":
                 raise ValueError("ZIP64 end record is not where its locator says")
+            end_at = at
             n, length, place = struct.unpack_from("<3Q", record, 32)
         self.members: dict[str, Member] = {}
-        directory, at = self._at(place, length), 0
+        # data in front of the archive move everything by as much as the directory is off its place
+        self.shift = end_at - length - place
+        directory, at = self._at(place + self.shift, length), 0
         for _ in range(n):
             if directory[at : at + 4] != b"PK\1\2":
                 raise ValueError("damaged central directory")
+            (flags,) = struct.unpack_from("<H", directory, at + 8)
             method, packed, plain, names, extras, comments, header = *struct.unpack_from("<H", directory, at + 10), *struct.unpack_from("<2I3H", directory, at + 20), *struct.unpack_from("<I", directory, at + 42)
-            name = directory[at + 46 : at + 46 + names].decode()
+            name = directory[at + 46 : at + 46 + names].decode("utf-8" if flags & 0x800 else "cp437", "replace")
             extra = directory[at + 46 + names : at + 46 + names + extras]
             while len(extra) >= 4:
                 tag, long = struct.unpack_from("<2H", extra)
@@ -102,7 +111,7 @@ class ZipIndex:
                     packed = wide.pop(0) if packed == _BIG32 else packed
                     header = wide.pop(0) if header == _BIG32 else header
                 extra = extra[4 + long :]
-            self.members[name] = Member(name, method, packed, header)
+            self.members[name] = Member(name, method, packed, header + self.shift)
             at += 46 + names + extras + comments
 
     def _at(self, place: int, n: int) -> bytes:
@@ -152,31 +161,41 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields (lower-case names) and block of a record."""
-    data = gzip.decompress(raw)
+    """Fields (lower-case names) and block of a record, packed or plain."""
+    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
     return fields, rest[: int(fields["content-length"])]
 
 
 def _page(urn: str | None) -> int | None:
+    """The page in a record id of ours; None for others."""
     number = urn.removeprefix("<urn:page:").removesuffix(">") if urn else ""
-    return int(number) if number else None
+    return int(number) if number.removeprefix("-").isdigit() else None
 
 
 def page_of(fields: dict[str, str], block: bytes) -> tuple:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (None for a revisit) of a record.
-    A response's digest is computed from its payload and must be the one in its header."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    n = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    if fields["warc-type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"damaged payload in {fields['warc-record-id']}")
+
+    The payload of a response is what follows its HTTP head, that of other records their block. A response's digest is computed from its payload and must be the SHA-1 in its header, if one
+    is there. A revisit has the size and digest of its headers (null without them), since its payload is elsewhere.
+    """
+    kind, http = fields.get("warc-type"), block.startswith(b"HTTP/")
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    said = fields.get("warc-payload-digest", "")
+    named = base64.b32decode(said[5:].upper()).hex() if said.lower().startswith("sha1:") and len(said) == 37 else None
     url = json.loads(fields["x-target-uri-json"]) if "x-target-uri-json" in fields else fields.get("warc-target-uri")
-    return _page(fields["warc-record-id"]), url, n, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), payload if fields["warc-type"] == "response" else None
+    page, refers = _page(fields.get("warc-record-id")), _page(fields.get("warc-refers-to"))
+    if kind == "revisit":
+        sizes = [line.partition(b":")[2] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        return page, url, int(sizes[0]) if sizes else None, named, kind, refers, None
+    digest = hashlib.sha1(payload).hexdigest()
+    if kind == "response" and http and named is not None and named != digest:
+        raise ValueError(f"damaged payload in {fields.get('warc-record-id')}")
+    return page, url, len(payload), digest, kind, refers, payload
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -229,21 +248,47 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     return written(ready.mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
 
 
+def index_spans(text: str) -> list[tuple[str, int, int]]:
+    """(file, offset, length) of each line of an index: JSON behind key and time, or columns by the letters of a first line (V offset, S length, g file)."""
+    spans, letters = [], []
+    for line in text.split("\n"):
+        line = line.strip("\r")
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+        elif " {" in line:
+            entry = json.loads(line[line.index(" {") + 1 :])
+            spans.append((entry["filename"], int(entry["offset"]), int(entry["length"])))
+        elif letters and line.strip():
+            entry = dict(zip(letters, line.split(" ")))
+            spans.append((entry["g"], int(entry["V"]), int(entry["S"])))
+    return spans
+
+
 def records_in(source, size: int):
-    """(fields, block) of every record that an archive's index names, in the order of their places."""
+    """(fields, block) of every record that an archive's indexes name, in the order of their places; a record that several lines name comes once."""
     archive = ZipIndex(source, size)
-    spans = []
-    for line in archive.read(INDEX).decode().split("\n"):
-        if line:
-            entry = json.loads(line[line.index(" {") + 1 :])
-            spans.append((entry["offset"], entry["length"]))
-    spans.sort()
+    indexes = sorted(m for m in archive.members if m.startswith("indexes/") and m.removesuffix(".gz").endswith((".cdx", ".cdxj")))
+    if not indexes:
+        raise ValueError("archive without an index")
+    spans: dict[str, set[tuple[int, int]]] = {}
+    for name in indexes:
+        raw = archive.read(name)
+        for file, at, n in index_spans((gzip.decompress(raw) if name.endswith(".gz") else raw).decode()):
+            place = next((m for m in (file, f"archive/{file}") if m in archive.members), None)
+            if place is None:
+                raise ValueError(f"the index names {file}, which the archive does not have")
+            spans.setdefault(place, set()).add((at, n))
+    for place in sorted(spans):
+        yield from _records_of(archive, place, sorted(spans[place]))
+
+
+def _records_of(archive: ZipIndex, place: str, spans: list[tuple[int, int]]):
     i = 0
     while i < len(spans):
         j, begin = i + 1, spans[i][0]
         while j < len(spans) and spans[j][0] == sum(spans[j - 1]) and sum(spans[j]) - begin <= RANGE_BYTES:
             j += 1
-        chunk = archive.read(DATA, begin, sum(spans[j - 1]) - begin)
+        chunk = archive.read(place, begin, sum(spans[j - 1]) - begin)
         for at, n in spans[i:j]:
             yield parse_record(chunk[at - begin : at - begin + n])
         i = j

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bounds of the fit: vectors in the sample, rows per leaf of the sample, branches per node, sample rows used as queries.
+#: Bounds of the fit: vectors in the sample, rows per leaf, branches per node, sample rows used as queries.
 SAMPLE, LEAF, BRANCH, PROBES = 40_000, 300, 16, 300
+#: Small tables have smaller leaves, so that there is something to choose from: about so many, of so many rows at least.
+LEAVES, LEAST_LEAF = 100, 16
 #: Sample of one cell for the levels below it, at most; with fewer rows per cell than LEAF there are none.
 CELL_SAMPLE = 12_000
 #: Recall that calibration asks for on the sample; the contract asks for 0.9.
@@ -155,18 +157,20 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _deepen(tree: Tree, entries: DataFrame, n: int, seed: int) -> Tree:
-    """Fits the levels below the leaves of a tree that the whole sample made, on at most CELL_SAMPLE rows of each leaf."""
+    """Fits the levels below the leaves of a tree that the whole sample made, on about CELL_SAMPLE rows of each leaf at most."""
     top = entries.sparkSession.sparkContext.broadcast(tree)  # about SAMPLE / LEAF centres
     # leaves of LEAF rows of the table are wanted; of a cell, as many rows are read as that takes
-    wanted = int(min(CELL_SAMPLE, n / tree.leaves))
+    wanted = min(CELL_SAMPLE, n / tree.leaves)
 
     def place(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(top.value.assign(_unit(_matrix(batch.column(0))))), batch.column(0)], ["cell", "v"])
 
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("v", F.lit(seed + 1)), "v")
     placed = entries.select("v").mapInArrow(place, "cell long, v array<double>")
-    some = placed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= wanted).drop("_r")
+    # a cell's share by a hash of the vector: only what is taken is shuffled, and no cell is sorted
+    counts = dict(map(tuple, placed.groupBy("cell").count().collect()))  # a row for each cell
+    shares = F.array(*[F.lit(min(1.0, wanted / counts.get(cell, 1))) for cell in range(tree.leaves)])
+    some = placed.filter(F.pmod(F.xxhash64("v", F.lit(seed + 1)), F.lit(1 << 30)) < F.get(shares, F.col("cell").cast("int")) * float(1 << 30))
 
     def grow(key, rows):
         x = _unit(np.array(rows["v"].tolist(), dtype=np.float64))
@@ -176,14 +180,15 @@ def _deepen(tree: Tree, entries: DataFrame, n: int, seed: int) -> Tree:
     return graft(tree, {r.cell: pickle.loads(r.tree) for r in fitted})
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL, seed: int = 5, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose vec_id is divisible by `every`.
 
     vectors(vec_id, embedding): null ids and unusable vectors take no part, nor do vectors of another length than the most
     frequent one (of equally frequent ones the longest); ids are unique and repeated rows of one id with one vector count
     once; an empty table gives no rows. Equal vectors are one entry with the k + 1 smallest ids, which is all that any
     query can need, so a hot vector makes no pairs; a leaf of many rows is scored in chunks. Every query gets k answers
-    if there are as many candidates. The order of the input does not matter.
+    if there are as many candidates. The order of the input does not matter. A report, if given, gets the number of leaves and
+    the share of all entries that a query is scored against, on average; that is a job of its own.
     """
     spark = vectors.sparkSession
     fine = usable(vectors)
@@ -198,7 +203,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     n = entries.count()
     taken = entries.select("v").orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SAMPLE)
     sample = _unit(np.array([r[0] for r in taken.collect()], dtype=np.float64))  # SAMPLE vectors at most
-    tree = fit(sample, seed=seed)
+    tree = fit(sample, leaf=min(LEAF, max(LEAST_LEAF, n // LEAVES)), seed=seed)
     if n > 2 * SAMPLE:
         tree = _deepen(tree, entries, n, seed)
     visits = calibrate(tree, sample, k, recall)
@@ -210,7 +215,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(x)), batch.column(0), batch.column(1)], ["leaf", "v", "ids"])
 
     indexed = written(entries.mapInArrow(place, "leaf long, v array<double>, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(1 << 20))), "ann-index")
-    sizes = written(indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"), F.sum(F.size("ids")).alias("held")), "ann-leaves")
+    sizes = written(indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"), F.sum(F.size("ids")).alias("held"), F.count(F.lit(1)).alias("rows")), "ann-leaves")
     held = np.zeros(tree.leaves, np.int64)
     for r in sizes.collect():  # a row for each leaf of the tree
         held[r.leaf] = r.held
@@ -236,6 +241,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(q, pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["leaf", "q", "v"])
 
     routed = searches.select("q", "v").mapInArrow(route, "leaf long, q long, v array<double>")
+    if report is not None:
+        scored = routed.join(sizes.select("leaf", "rows"), "leaf").groupBy("q").agg(F.sum("rows").alias("n")).agg(F.avg("n")).first()[0] or 0
+        report |= {"leaves": tree.leaves, "visits": visits, "share": scored / n}
     chunks = sizes.select("leaf", "chunks")
     bins = routed.join(chunks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "q", "v", F.lit(None).cast("array<long>").alias("ids"))
     dealt = indexed.join(chunks, "leaf").select("leaf", F.pmod("chunk", "chunks").alias("chunk"), F.lit(None).cast("long").alias("q"), "v", "ids")

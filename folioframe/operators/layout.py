@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -63,9 +63,10 @@ def moved_column(headers: Column, direction: Column, names: list[str], way: str)
     return F.when(direction.isin(way, "both") & (F.size(places) > 0), F.array_max(places))
 
 
-def process_tables(tables: DataFrame) -> DataFrame:
-    """tables(..., layout, direction, headers array, n_expected, texts array of one row): log, from, to for each row."""
-    fits = F.size("texts") == F.col("n_expected")
+def process_tables(tables: DataFrame, width: Column | None = None) -> DataFrame:
+    """tables(..., layout, direction, headers array, n_expected, texts array of one row): log, from, to for each row. width is that of the row's table, else the row's own; a row that
+    ends before a place has null there."""
+    fits = (F.size("texts") if width is None else width) == F.col("n_expected")
     at = {"from": moved_column(F.col("headers"), F.col("direction"), t.MOVE_FROM, "in"), "to": moved_column(F.col("headers"), F.col("direction"), t.MOVE_TO, "out")}
     log = F.when(~fits, "wrong number of columns").when(at["from"].isNull() & at["to"].isNull(), "not able to locate to/from columns").otherwise("ok")
     return tables.select("*", log.alias("log"), *[F.when(fits & a.isNotNull(), F.get("texts", a)).alias(f"moved_{way}") for way, a in at.items()])
@@ -82,7 +83,7 @@ def standardize(rows: DataFrame, pages: DataFrame, page: str, table: str) -> Dat
     annotations is an array of (direction, headers), null for layouts that are not printed: their rows are `not implemented`. As many tables as
     annotations meet by place; else one annotation, or two equal ones, hold for every table; else the rows say `wrong number of tables`, with a direction only
     if the annotations share one. Pages without any table, and pages without a file (has_file false in pages, where it is a column), have one
-    row that says so.
+    row that says so. A table is as wide as its first row, so all rows of a ragged one have the same log.
     """
     listed = rows.groupBy(page).agg(F.sort_array(F.collect_set(table)).alias("_tables"))
     source = pages if "has_file" in pages.columns else pages.withColumn("has_file", F.lit(True))
@@ -94,7 +95,8 @@ def standardize(rows: DataFrame, pages: DataFrame, page: str, table: str) -> Dat
     found = placed.filter("has_file AND _tables IS NOT NULL").select(page, "layout", branch.alias("_branch"), agreed.alias("_agreed"), "annotations", "_tables").join(rows, page)
     own = F.when(F.col("_branch") == "zip", F.get("annotations", (F.array_position("_tables", F.col(table)) - 1).cast("int"))).when(F.col("_branch").isin("one for all", "first for all"), F.get("annotations", F.lit(0)))
     found = found.withColumn("_own", own).withColumns({"direction": F.col("_own.direction"), "headers": F.col("_own.headers"), "n_expected": F.size("_own.headers")})
-    done = process_tables(found)
+    first = Window.partitionBy(page, table).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = process_tables(found.withColumn("_width", F.first(F.size("texts")).over(first)), F.col("_width"))
     log = F.when(F.col("_own").isNull(), F.col("_branch")).otherwise(F.col("log"))
     way = F.when(F.col("_own").isNotNull(), F.col("direction")).when(F.col("_branch") == "not implemented", "unknown").otherwise(F.col("_agreed"))
     full = done.select(page, table, "row", "layout", way.alias("direction"), log.alias("log"), "moved_from", "moved_to", F.col("texts").alias("original columns"))

@@ -97,6 +97,20 @@ def layout_labels(spark, sf_dir):
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("book")), 6))
 
 
+@query("""WITH p AS (SELECT l_orderkey AS page, count(*) AS n, list(l_linenumber ORDER BY l_linenumber) AS cols FROM lineitem GROUP BY 1),
+e AS (SELECT *, page % 2 + 1 AS want, page % 7 + 1 AS a, page % 5 + 1 AS b FROM p)
+SELECT CASE WHEN n > 2 THEN 'more than two tables' WHEN n <> want THEN 'wrong number of tables' WHEN want = 1 AND cols[1] = a OR want = 2 AND cols[1] = a AND cols[2] = b THEN 'correct'
+  WHEN abs(cols[1] - a) < 2 AND (want = 1 OR abs(cols[2] - b) < 2) THEN 'columns off by one' ELSE 'columns off by more than one' END AS label, want AS expected, count(*) AS n FROM e GROUP BY 1, 2""")
+def layout_labels_of_two(spark, sf_dir):
+    """Agreement of pages whose layout has one table or two, by the widths of all their tables."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("w"))
+    pages = lines.groupBy("page").agg(F.sort_array(F.collect_list("w")).alias("cols"))
+    want = (F.col("page") % 2 + 1).cast("int")
+    widths = F.slice(F.array((F.col("page") % 7 + 1).cast("int"), (F.col("page") % 5 + 1).cast("int")), F.lit(1), want)
+    label = layout.layout_label(F.size("cols"), want, F.slice("cols", 1, 2), widths)
+    return pages.select(label.alias("label"), want.cast("long").alias("expected")).groupBy("label", "expected").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT p_brand, p_type, n, rank FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS rank FROM part GROUP BY p_brand, p_type) WHERE rank <= 5")
 def layout_topk(spark, sf_dir):
     """Most frequent layouts of each category."""

@@ -52,17 +52,32 @@ def _values(x):
     return "NULL" if x is None else "[" + ", ".join(map(_values, x)) + "]" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else str(x)
 
 
-TYPES_SQL = f"""sheet AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(_values(v) for v in (i, *row)) + ")" for i, row in enumerate(SHEET))}) s(i, name, kind, way, n, heads)),
-wide AS (SELECT *, lead(way) OVER (ORDER BY i) AS way2, lead(n) OVER (ORDER BY i) AS n2, lead(heads) OVER (ORDER BY i) AS heads2 FROM sheet),
+SHEET_SQL = f"""sheet AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(_values(v) for v in (i, *row)) + ")" for i, row in enumerate(SHEET))}) s(i, name, kind, way, n, heads)),"""
+TYPES_OF_SQL = """wide AS (SELECT *, lead(way) OVER (ORDER BY i) AS way2, lead(n) OVER (ORDER BY i) AS n2, lead(heads) OVER (ORDER BY i) AS heads2 FROM sheet),
 flat AS (SELECT i, lower(name) AS print_type, 0 AS ord, CASE kind WHEN 'one table' THEN 'opening' ELSE 'left' END AS page, way, n, heads FROM wide WHERE kind IS NOT NULL UNION ALL SELECT i, lower(name), 1, 'right', way2, n2, heads2 FROM wide WHERE kind = 'two tables'),
-numbered AS (SELECT *, TRY_CAST(trim(replace(replace(n, 'left', ''), 'right', '')) AS DOUBLE) AS k, max(i) OVER (PARTITION BY print_type) AS last FROM flat),
-types AS (SELECT print_type, CAST(ord AS INTEGER) AS ord, page, CASE WHEN way IN ('in', 'out', 'both', 'out abroad') THEN way ELSE '?' END AS direction, list_transform(heads[:CAST(k AS INTEGER)], lambda h: coalesce(trim(h), 'None')) AS headers FROM numbered WHERE k IS NOT NULL AND i = last)"""
+counted AS (SELECT *, TRY_CAST(trim(replace(replace(n, 'left', ''), 'right', '')) AS DOUBLE) AS k FROM flat),
+whole AS (SELECT *, bool_and(k IS NOT NULL) OVER (PARTITION BY i) AS ok FROM counted),
+numbered AS (SELECT *, max(CASE WHEN ok THEN i END) OVER (PARTITION BY print_type) AS last FROM whole),
+types AS (SELECT print_type, CAST(ord AS INTEGER) AS ord, page, CASE WHEN way IN ('in', 'out', 'both', 'out abroad') THEN way ELSE '?' END AS direction, list_transform(heads[:CAST(k AS INTEGER)], lambda h: coalesce(trim(h), 'None')) AS headers FROM numbered WHERE ok AND i = last)"""
 
 
-@query(f"WITH {TYPES_SQL} SELECT print_type, ord, page, direction, array_to_string(headers, '|') AS headers FROM types")
+TYPES_SQL = f"{SHEET_SQL}\n{TYPES_OF_SQL}"
+#: The same sheet with a row for each supplier: layouts repeat, kinds, directions and columns come from its key, a header from its nation.
+WAYS, COUNTS = ["in", "out", "both", "inside", None], ["left 3", "right 2", "2.0", "unknown", "1", None, "3"]
+SUPPLIER_SHEET_SQL = f"""sheet AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 4 <> 2 THEN 'Print ' || s_suppkey % 37 END AS name, (['one table', 'two tables', NULL, 'one table'])[s_suppkey % 4 + 1] AS kind, ({_values(WAYS)})[s_suppkey % 5 + 1] AS way,
+  ({_values(COUNTS)})[s_suppkey % 7 + 1] AS n, ['h' || s_nationkey, ' nimi ', CASE WHEN s_suppkey % 3 > 0 THEN 'mistä' END] AS heads FROM supplier),"""
+
+
+@query(f"WITH {SUPPLIER_SHEET_SQL} {TYPES_OF_SQL} SELECT print_type, ord, page, direction, array_to_string(headers, '|') AS headers FROM types")
 def catalogue_print_types(spark, sf_dir):
     """Printed layouts, two rows for two tables."""
-    return catalogue.print_types(_type_sheet(spark)).withColumn("headers", F.array_join("headers", "|"))
+    k = F.col("s_suppkey")
+    of = lambda values, n: F.get(F.array(*[F.lit(v) if v is not None else F.lit(None).cast("string") for v in values]), (k % n).cast("int"))
+    none = F.lit(None).cast("string")
+    heads = [F.concat(F.lit("h"), F.col("s_nationkey").cast("string")), F.lit(" nimi "), F.when(k % 3 > 0, "mistä")]
+    cells = F.array(F.when(k % 4 != 2, F.concat(F.lit("Print "), (k % 37).cast("string"))), of(["one table", "two tables", None, "one table"], 4), of(WAYS, 5), none, none, of(COUNTS, 7), *heads)
+    sheet = load(spark, sf_dir, "supplier").select((k + 2).cast("int").alias("row_no"), cells.alias("cells"))
+    return catalogue.print_types(sheet).withColumn("headers", F.array_join("headers", "|"))
 
 
 @query(f"WITH {BOOKS_SQL}, {NOTES_SQL}, h AS (SELECT p.book_id, p.page, n.layout, n.note FROM pages p LEFT JOIN notes n ON n.book_id = p.book_id AND (NOT n.ranged OR p.page BETWEEN n.a AND n.b)) SELECT book_id, page, coalesce(arg_max(layout, note), 'unknown') AS layout, count(layout) > 1 AS overlaps FROM h GROUP BY book_id, page")

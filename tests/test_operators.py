@@ -117,3 +117,12 @@ def test_matching_without_pages_and_partners(spark):
     got = {(r.page, r.i): (r.j, round(r.iou, 6)) for r in tables.match_greedy(truth, predicted, "page").collect()}
     assert got == {(1, 0): (None, 0), (1, 1): (7, round(9 / 11, 6)), (2, 0): (None, 0), (None, 0): (None, 0)}
     assert not tables.match_greedy(truth.limit(0), predicted, "page").collect()
+
+
+def test_ragged_tables(spark):
+    """The first row says how wide a table is."""
+    rows = spark.createDataFrame([(1, 0, 0, ["a", "b", "c"]), (1, 0, 1, ["d", "e"]), (1, 1, 0, ["f"]), (1, 1, 1, ["g", "h", "i"])], "page int, ord int, row int, texts array<string>")
+    one = ("in", ["nimi", "mp", "mistä"])
+    pages = spark.createDataFrame([(1, "x", [one])], "page int, layout string, annotations array<struct<direction:string,headers:array<string>>>")
+    got = {(r.ord, r.row): (r.log, r.moved_from) for r in layout.standardize(rows, pages, "page", "ord").collect()}
+    assert got == {(0, 0): ("ok", "c"), (0, 1): ("ok", None), (1, 0): ("wrong number of columns", None), (1, 1): ("wrong number of columns", None)}

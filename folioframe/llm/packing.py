@@ -107,6 +107,25 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), "doc_id long, start long, doc_tokens long, ids binary")
 
 
+class Bags:
+    """The distinct tokens of passages one behind the other, ascending in each: `tokens`, how often each stands there (`times`), and the passage it is of (`owner`); passage i has
+    those from starts[i] to starts[i + 1]. Passages are never empty; all are sorted at once."""
+
+    def __init__(self, passages: list[bytes], kind: str):
+        width = 8 * np.dtype(kind).itemsize
+        self.lengths = np.fromiter(map(len, passages), np.int64, len(passages)) // np.dtype(kind).itemsize
+        small = width == 16 and len(passages) <= 1 << 16
+        keys = np.repeat(np.arange(len(passages), dtype=np.uint32 if small else np.uint64), self.lengths)
+        keys <<= keys.dtype.type(width)
+        keys |= np.frombuffer(b"".join(passages), kind)
+        keys.sort()
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.times = np.diff(np.append(at, len(keys))).astype(np.float32)
+        keys = keys[at]
+        self.owner, self.tokens = (keys >> keys.dtype.type(width)).astype(np.int64), (keys & keys.dtype.type((1 << width) - 1)).astype(np.int64)
+        self.starts = np.searchsorted(self.owner, np.arange(len(passages) + 1))
+
+
 class Statistics:
     """Of all passages, whose ids are integers of a kind: how many there are, their mean length, and how many hold each token (bounded by the vocabulary)."""
 
@@ -115,30 +134,29 @@ class Statistics:
         self.mean = tokens / max(passages, 1)
         self.idf = np.log(1 + (passages - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
 
-    def bag(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return _bag(ids, self.kind)
-
-    def weights(self, tokens: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """BM25 weights of the distinct tokens of one passage."""
-        return self.idf[tokens] * (times * np.float32(K1 + 1) / (times + np.float32(K1 * (1 - B + B * times.sum() / self.mean))))
-
+    def weights(self, bags: Bags) -> np.ndarray:
+        """The BM25 weight of each token in its passage."""
+        length = np.float32(K1) * (np.float32(1 - B) + np.float32(B / self.mean) * bags.lengths.astype(np.float32))
+        return self.idf[bags.tokens] * (bags.times * np.float32(K1 + 1) / (bags.times + length[bags.owner]))
 
-def _bag(ids: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of a passage and how often each stands there."""
-    found = np.sort(np.frombuffer(ids, kind))
-    at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    return found[at], np.diff(at, append=len(found)).astype(np.float32)
+    def topics(self, passages: list[bytes]) -> np.ndarray:
+        """The token of the greatest weight in each passage, the least of equals."""
+        if not passages:
+            return np.zeros(0, np.int64)
+        bags = Bags(passages, self.kind)
+        weights = self.weights(bags)
+        most = np.flatnonzero(weights == np.maximum.reduceat(weights, bags.starts[:-1])[bags.owner])
+        owner = bags.owner[most]
+        return bags.tokens[most[np.concatenate([[True], owner[1:] != owner[:-1]])]]
 
 
 def statistics(passages: DataFrame, kind: str) -> Statistics:
     def run(batches):
         frequency = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                tokens, _ = _bag(ids, kind)
-                if tokens[-1] >= len(frequency):
-                    frequency = np.append(frequency, np.zeros(int(tokens[-1]) + 1, np.int64))
-                frequency[tokens] += 1
+            found = np.bincount(Bags(batch.column(0).to_pylist(), kind).tokens, minlength=len(frequency))
+            found[: len(frequency)] += frequency
+            frequency = found
         at = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(frequency[at])], ["token", "n"])
 
@@ -152,8 +170,7 @@ def statistics(passages: DataFrame, kind: str) -> Statistics:
 def _topics(known: Statistics):
     def run(batches):
         for batch in batches:
-            found = [int(tokens[np.argmax(known.weights(tokens, times))]) for tokens, times in map(known.bag, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "topic"])
+            yield pa.RecordBatch.from_arrays([pa.array(known.topics(batch.column(0).to_pylist()), pa.int64())], ["topic"])
 
     return run
 
@@ -179,24 +196,20 @@ class Index:
     """The inverted index of a shard: for each token the passages that hold it and its weight in each."""
 
     def __init__(self, passages: list[bytes], known: Statistics):
-        bags = list(map(known.bag, passages))
-        self.weights_of = [known.weights(*b) for b in bags]
-        self.tokens_of = [t for t, _ in bags]
-        sizes = np.fromiter(map(len, self.tokens_of), np.int64, len(bags))
-        tokens = np.concatenate(self.tokens_of)
-        order = np.argsort(tokens, kind="stable")
-        self.passages = np.repeat(np.arange(len(bags)), sizes)[order]
-        self.weights = np.concatenate(self.weights_of)[order]
-        self.tokens, begin = np.unique(tokens[order], return_index=True)
+        self.bags = Bags(passages, known.kind)
+        self.weights_of = known.weights(self.bags)
+        order = np.argsort(self.bags.tokens, kind="stable")
+        self.passages, self.weights = self.bags.owner[order], self.weights_of[order]
+        self.tokens, begin = np.unique(self.bags.tokens[order], return_index=True)
         self.ends = np.append(begin, len(order))
-        self.used = np.zeros(len(bags), bool)
+        self.used = np.zeros(len(passages), bool)
 
     def neighbours(self, seed: int, most: int = NEIGHBOURS) -> list[int]:
         """Unused passages by descending score against the seed's weightiest tokens, ties in order; at most so many."""
         scores = np.zeros(len(self.used), np.float32)
-        weights = self.weights_of[seed]
-        chosen = np.argsort(-weights, kind="stable")[:QUERY_TOKENS]
-        for at in np.searchsorted(self.tokens, self.tokens_of[seed][chosen]).tolist():
+        own = slice(self.bags.starts[seed], self.bags.starts[seed + 1])
+        chosen = np.argsort(-self.weights_of[own], kind="stable")[:QUERY_TOKENS]
+        for at in np.searchsorted(self.tokens, self.bags.tokens[own][chosen]).tolist():
             begin, end = self.ends[at], self.ends[at + 1]
             scores[self.passages[begin:end]] += self.weights[begin:end]
         scores[self.used] = 0
@@ -272,7 +285,7 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_
     known = statistics(stored, kept(path, end_id))
     full = F.octet_length("ids") == known.size * window
     short = stored.filter(~full)
-    topics = short.select("ids").mapInArrow(giving_back(_topics(known)), "ids binary, topic long").groupBy("topic").count()
+    topics = short.select("ids").mapInArrow(giving_back(_topics(known)), "topic long").groupBy("topic").count()
     plan = shard_plan([tuple(r) for r in topics.collect()], shard_rows)  # a row for each token of the vocabulary at most
     first, width = np.zeros(max((t for t, *_ in plan), default=0) + 1, np.int64), np.ones(max((t for t, *_ in plan), default=0) + 1, np.int64)
     for topic, shard, shards in plan:
@@ -281,8 +294,7 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_
 
     def dealt(batches):
         for batch in batches:
-            ids = batch.column(3).to_pylist()
-            topic = np.fromiter((tokens[np.argmax(known.weights(tokens, times))] for tokens, times in map(known.bag, ids)), np.int64, len(ids))
+            topic = known.topics(batch.column(3).to_pylist())
             spread = batch.column(4).to_numpy().view(np.uint64) % width[topic].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first[topic] + spread.astype(np.int64))], [*batch.schema.names[:4], "shard"])
 

@@ -1,6 +1,6 @@
 """All registered queries with their SQL twins."""
 
-from . import catalogue, pages  # noqa: F401  they register their queries
+from . import catalogue, documents, pages  # noqa: F401  they register their queries
 from .archive import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "parish_rollup"

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -25,3 +28,13 @@ def open_for_write(uri: str):
     system, path = filesystem(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     return system.open_output_stream(path)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """The address of a new folder that the driver and all tasks reach: below spark.checkpoint.dir, or on one machine without that setting below its folder for temporary files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="folioframe-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

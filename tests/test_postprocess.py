@@ -75,3 +75,17 @@ def test_from_documents_to_documents(spark, tmp_path):
     assert got == {(1, "a"): whole, (2, "a"): whole, (3, "a"): [["", "", ""]], (4, "a"): [r[:2] for r in whole], (5, "one"): [["x"]], (21, "h"): [["Anna", "1"], ["Anna", "2"]]}
     merged = page_xml.table_rects(docs).filter(F.col("file_name") == names[1]).first()
     assert (merged.x, merged.w) == (0, 40) and (out / names[1]).read_text().startswith("<?xml")
+
+
+def test_a_model_corrects_what_is_left(spark, tmp_path):
+    """Only printed tables of a wrong width reach the model; cells whose text stays in its place keep what else they have."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / f"autods_{BOOK}_1.xml").write_text(page(table("a", [r[:2] for r in FULL])))
+    (tmp_path / "in" / f"autods_{BOOK}_2.xml").write_text(page(table("a", FULL)))
+    books = spark.createDataFrame([(BOOK, "print 1")], "book_id string, spec string")
+    types = spark.createDataFrame([("print 1", 0, "opening", "in", HEADERS)], "print_type string, ord int, page string, direction string, headers array<string>")
+    cells, tables, pages = postprocess.repaired(page_xml.scan(spark, str(tmp_path / "in")), books, types, postprocess.keeper(spark, str(tmp_path / "work")), lambda texts, headers: [("insert", 0)])
+    got = {(r.file_name[-5], r.row, r.col): (r.text, r.cell_id) for r in cells.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "1"} == {("1", 0, 0): ("", None), ("1", 0, 1): ("1", None), ("1", 0, 2): ("Anna Maria Virtanen", None), ("1", 1, 0): ("", None), ("1", 1, 1): ("2", None), ("1", 1, 2): ("Juho Heikki Salo", None)}
+    assert got["2", 0, 1] == ("Anna Maria Virtanen", "a01") and len(got) == 12
+    assert {(r.file_name[-5], r.n_cols, r.problematic) for r in tables.collect()} == {("1", 3, True), ("2", 3, False)} and pages.filter("fault IS NOT NULL").count() == 0

@@ -126,6 +126,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         yield batch.slice(begin)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together in order until a string column has at least so many bytes; the last one may have fewer."""
+    held_back, held_bytes = [], 0
+    for batch in batches:
+        held_back.append(batch)
+        held_bytes += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held_bytes >= least:
+            yield pa.concat_batches(held_back)
+            held_back, held_bytes = [], 0
+    if held_back:
+        yield pa.concat_batches(held_back)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from a function of one batch."""
 

@@ -34,11 +34,32 @@ def even_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     have no words. As words_of(), for a batch at once."""
     uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False)
     none = pc.or_(uneven, pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
-    lists = pc.split_pattern(pc.replace_substring(pc.if_else(none, pa.scalar(None, texts.type), texts), "\n", " \n"), " ")
+    # marked before the mask: if_else with a null scalar mistakes the beginning of sliced strings
+    marked = pc.replace_substring(texts, "\n", " \n")
+    lists = pc.split_pattern(pc.if_else(none, pa.scalar(None, marked.type), marked), " ")
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return lists.flatten(), sizes, uneven.to_numpy(zero_copy_only=False)
 
 
+#: Stands between parts; a text with one of its own is not cut. Behind an ASCII letter, anything that is none and no space begins a new piece.
+BETWEEN, BEHIND_LETTER = "\0", r"([A-Za-z])([!-@\[-`{-~])"
+
+
+def even_parts(texts: pa.Array, apart: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(all parts one behind the other, the parts of each text, whether it is to be taken whole: such a text gives none). Null and empty texts have no parts.
+
+    A part stands for itself: a word with the space before it, a line feed, what follows the letters of a word. Byte-level tokenizers with the usual pattern
+    begin a new piece with each, so that the parts' tokens are the text's. Taken whole are texts whose white space is not even and those of `apart`."""
+    whole = pc.or_(pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False), pc.fill_null(pc.match_substring(texts, BETWEEN), False))
+    whole = pc.or_(whole, apart) if apart is not None else whole
+    none = pc.or_(whole, pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
+    marked = pc.replace_substring_regex(texts, BEHIND_LETTER, rf"\1{BETWEEN}\2")
+    marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{BETWEEN} "), "\n", f"{BETWEEN}\n{BETWEEN}")
+    lists = pc.split_pattern(pc.if_else(none, pa.scalar(None, marked.type), marked), BETWEEN)
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten(), counts, whole.to_numpy(zero_copy_only=False)
+
+
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(all values, number of values of each list)."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -110,3 +131,33 @@ class SegmentTable:
                 self.chars -= len(s)
             del self.names[n:]
             self.forget(n)
+
+
+class PartTable:
+    """Remembers the ids of parts. What a batch has is looked up by Arrow; only parts that are new go to `learn`, which gives the ids of each."""
+
+    def __init__(self, learn: Callable[[list[str]], list[list[int]]], kept: int = 2 * KEPT):
+        self.learn, self.kept = learn, kept
+        self.known, self.ids = pa.array([], pa.string()), Ragged(np.uint32)
+
+    def ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts one behind the other, how many each has)."""
+        coded = parts.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(pc.is_null(found))
+        rows = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows[rows < 0] = len(self.known) + np.arange(len(fresh))
+        if len(fresh):
+            self.ids.extend(*flat(self.learn(fresh.to_pylist())))
+            self.known = pa.concat_arrays([self.known, fresh])
+        taken = self.ids.take(rows[coded.indices.to_numpy()])
+        self.settle()
+        return taken
+
+    def settle(self) -> None:
+        """Goes back to the first parts, the frequent ones, when there are too many or too long ones."""
+        chars = pc.sum(pc.binary_length(self.known)).as_py() or 0
+        if len(self.known) > self.kept or chars > self.kept * KEPT_CHARS:
+            n = min(self.kept, len(self.known)) if chars <= self.kept * KEPT_CHARS else len(self.known) // 2
+            self.known = pa.concat_arrays([self.known.slice(0, n)])
+            self.ids.cut(n)

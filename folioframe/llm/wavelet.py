@@ -9,24 +9,28 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_count import byte_symbols, even_space
-from .common import BoundedCache, attempt_name, open_for_read, open_for_write, shared_path, written
+from .bpe_count import byte_symbols
+from .common import attempt_name, gathered, open_for_read, open_for_write, shared_path, written
+from .segments import PartTable, even_parts
 
 MAGIC = b"FOLIOWM1"
 #: Bits of a plane in one compressed block.
 BLOCK_BITS = 1 << 18
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 4_000_000
+#: Bytes of text that are encoded at once, at least.
+GATHERED = 8 << 20
 
 
 def build(ids: np.ndarray, levels: int) -> list[tuple[np.ndarray, int]]:
@@ -35,7 +39,7 @@ def build(ids: np.ndarray, levels: int) -> list[tuple[np.ndarray, int]]:
     planes, now = [], ids.astype(kind)
     for bit in range(levels - 1, -1, -1):
         ones = (now & kind(1 << bit)).astype(bool)
-        low, high = now[~ones], now[ones]
+        low, high = np.compress(~ones, now), np.compress(ones, now)  # by places: on bits without order several times as fast as now[ones]
         planes.append((np.packbits(ones, bitorder="little"), len(low)))
         now = np.concatenate([low, high])
     return planes
@@ -109,8 +113,8 @@ class WaveletFile:
         for level in range(self.levels - 1, -1, -1):
             ones, zeros = self._plane(level), self.planes[level]["zeros"]
             up = np.empty_like(now)
-            up[~ones] = now[:zeros]
-            up[ones] = now[zeros:] | kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = now[:zeros]
+            up[np.flatnonzero(ones)] = now[zeros:] | kind(1 << (self.levels - 1 - level))
             now = up
         return now
 
@@ -178,14 +182,14 @@ class WaveletFile:
 
 
 class LibraryEncoder:
-    """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as the tokenizers library gives them, for a batch of texts at once.
 
-    Where white space is even (single spaces and line feeds), a piece of the tokenizer's pattern never
-    crosses the start of a space or a line feed, so the library encodes each distinct word once and its
-    ids are remembered; any other text, and any with a special string, goes to the library whole.
+    Where white space is even (single spaces and line feeds), texts are cut where the tokenizer's pattern
+    always begins a new piece; the library encodes each distinct part once and its ids are remembered. Any
+    other text, and any with a special string, goes to the library whole.
     """
 
-    def __init__(self, path: str, cache_limit: int = 1_000_000):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -193,35 +197,41 @@ class LibraryEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.symbols = byte_symbols()
-        self.after_space = BoundedCache(self.spaced, cache_limit)
-        self.bare = BoundedCache(self.whole, cache_limit // 4)
-        self.feed = self.whole("\n")
-        self.stops = {stop: self.whole(stop) for stop in ".,"}
         self.model = self.tokenizer.model
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def spaced(self, word: str) -> bytes:
-        """Ids of a word after a space. Letters alone are one piece of the pattern, so the library's model takes them at
-        once; a full stop or comma behind letters is a piece of its own."""
-        if word.isalpha():
-            piece = "".join([self.symbols[b] for b in (" " + word).encode()])
-            return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        if word[-1:] in self.stops and word[:-1].isalpha():
-            return self.after_space[word[:-1]] + self.stops[word[-1]]
-        return self.whole(" " + word)
+        self.table = PartTable(self._learn, *([kept] if kept else []))
+
+    def _learn(self, parts: list[str]) -> list[list[int]]:
+        found: list = [None] * len(parts)
+        rest, tokenize, symbols = [], self.model.tokenize, self.symbols
+        space = symbols[ord(" ")]
+        for i, s in enumerate(parts):
+            word = s[1:] if s[0] == " " else s
+            if not word.isalpha():
+                rest.append(i)
+            else:  # letters alone are one piece of the pattern, which the library's model takes at once
+                piece = word if word.isascii() else "".join([symbols[b] for b in word.encode()])
+                found[i] = [t.id for t in tokenize(piece if word is s else space + piece)]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, how many each has). Null and empty texts have none."""
+        special = pc.fill_null(pc.match_substring_regex(texts, "|".join(map(re.escape, self.special))), False) if self.special else None
+        parts, counts, whole = even_parts(texts, special)
+        ids, lengths = self.table.ids_of(parts)
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
+        at = np.flatnonzero(whole)
+        if not len(at):
+            return ids, np.diff(ends)
+        found = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for i in at.tolist():
+            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not even_space(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        parts, after_space, bare = [], self.after_space.__getitem__, self.bare
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(bare[words[0]] + b"".join(map(after_space, words[1:])))
-        return self.feed.join(parts)
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -257,12 +267,11 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
         from pyspark import TaskContext
 
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
         names, lengths, chunks, held = [], [], [], 0
 
         def close():
             nonlocal seq, names, lengths, chunks, held
-            ids = np.frombuffer(b"".join(chunks), "<u4")
+            ids = np.concatenate(chunks)
             name = f"{folder}/{attempt_name('shard')}"
             with open_for_write(name) as out:
                 write_shard(out, names, lengths, ids, max(own.levels, int(end_id).bit_length()))
@@ -270,13 +279,19 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
             seq, names, lengths, chunks, held = seq + 1, [], [], [], 0
             return row
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = own.encode(text) + end
-                names.append(doc)
-                lengths.append(len(data) // 4)
-                chunks.append(data)
-                held += lengths[-1]
+        for batch in gathered(batches, 1, GATHERED):
+            docs = batch.column(0).to_pylist()
+            ids, sizes = own.encode_all(batch.column(1))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            ends, begin = np.cumsum(sizes), 0
+            while begin < len(docs):  # up to the document that fills the shard, or all
+                before = int(ends[begin - 1]) if begin else 0
+                end = min(int(np.searchsorted(ends, before + shard_ids - held)) + 1, len(docs))
+                names += docs[begin:end]
+                lengths += sizes[begin:end].tolist()
+                chunks.append(ids[before : ends[end - 1]])
+                held += len(chunks[-1])
+                begin = end
                 if held >= shard_ids:
                     yield close()
         if names:

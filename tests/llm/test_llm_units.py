@@ -5,15 +5,17 @@ import random
 import re
 import zipfile
 from array import array
+from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioframe.llm import ann, bpe_count, common, golay, sharding, simhash, toxicity, unigram, warc, wavelet
+from folioframe.llm import ann, bpe_count, common, golay, segments, sharding, simhash, toxicity, unigram, warc, wavelet
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +72,40 @@ def test_wavelet(n):
         shard.occurrence(60_000, 0)
 
 
+@cache
+def encoder_keeping(parts):
+    return wavelet.LibraryEncoder(BPE, parts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | texts | st.sampled_from(["don't stop. A1b2, é.!x\nÉa ßs", "nul\0nul. x"]), max_size=8), st.integers(0, 3), st.sampled_from([2, 1000]))
+def test_ids_of_batches(some, skipped, kept):
+    """Slices of batches, few remembered parts, texts of any kind beside each other: always what the library gives."""
+    own = encoder_keeping(kept)
+    batch = pa.array(["é first\none. two"] * skipped + some, pa.string()).slice(skipped)
+    ids, sizes = own.encode_all(batch)
+    want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    assert len(own.table.known) <= kept and len(own.table.ids.ends) == len(own.table.known) + 1
+
+
+def test_parts_are_encoded_once():
+    """A word with what follows its letters, in all texts of a batch and in later batches, is one part that the library sees once."""
+    own, seen = wavelet.LibraryEncoder(BPE), []
+    learn = own.table.learn
+    own.table.learn = lambda parts: seen.extend(parts) or learn(parts)
+    own.encode_all(pa.array(["stone stone. (stone) stone,\nstone stone.", "stone stone!"]))
+    own.encode_all(pa.array(["stone. stone", None]))
+    assert sorted(seen) == sorted(["stone", " stone", ".", " (stone", ")", ",", "\n", "!"])
+
+
+def test_words_of_sliced_texts():
+    texts = pa.array(["zero é", "one\ntwo", None, "three ", "five six é", "ü seven", "x y"] * 9).slice(10, 40)
+    words, sizes, uneven = segments.even_words(texts)
+    want = [(segments.words_of(t) if t else None) or [] for t in texts.to_pylist()]
+    assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want)) and uneven.sum() == texts.to_pylist().count("three ")
+
+
 def test_golay_keys():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 2000)

@@ -1,6 +1,7 @@
+import public_tokenizers
 import pyarrow as pa
 
-from folioframe.llm import common
+from folioframe.llm import common, wavelet
 
 
 def test_held_keeps_one_state():
@@ -28,3 +29,21 @@ def test_giving_back_passes_batches_on():
     batches = [pa.RecordBatch.from_arrays([pa.array([i])], ["a"]) for i in range(3)]
     assert list(common.giving_back(iter)(iter(batches))) == batches
     assert list(common.giving_back(iter)(iter([]))) == []
+
+
+def test_gathered_keeps_all_rows_in_order():
+    texts = [["a" * 5, None], [], ["é"], ["b" * 30], ["c"], []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in texts]
+    got = [b.column(0).to_pylist() for b in common.gathered(iter(batches), 0, 7)]
+    assert got == [["a" * 5, None, "é"], ["b" * 30], ["c"]]
+    assert list(common.gathered(iter([]), 0, 7)) == []
+
+
+def test_shards_close_at_their_size(spark):
+    """Shards are cut at the document that fills them, wherever batches end."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('word ', cast(id % 7 AS int)) AS text").coalesce(1)
+    manifest = wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_ids=40).collect()
+    assert sum(r.n_docs for r in manifest) == 300
+    last = {r.part: max(q.seq for q in manifest if q.part == r.part) for r in manifest}
+    assert all(40 <= r.n_ids < 54 for r in manifest if r.seq < last[r.part])
+    assert sorted(r.base for r in manifest) == sorted(sum(q.n_ids for q in manifest if (q.part, q.seq) < (r.part, r.seq)) for r in manifest)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to Python: long texts must not add up.
 ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
+#: Bytes of text that are put together to be encoded at once, at least.
+GATHERED = 8 << 20
 _OWN_DIR: list[str] = []
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_count import byte_symbols
-from .common import giving_back, held, slices, written
-from .segments import Ragged, SegmentTable, even_words, flat
+from .common import GATHERED, gathered, giving_back, held, written
+from .segments import PartTable, even_parts
 
 WINDOW = 4096
 #: Passages of a shard, about; its index stays below this many times a window.
@@ -39,44 +39,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
-        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ids = Ragged(np.uint32)
-        self.table = SegmentTable(self._learn, self.ids.cut, *([kept] if kept else []))
+        self.table = PartTable(self._learn, *([kept] if kept else []))
 
-    def _learn(self, segments: list[str]) -> None:
+    def _learn(self, segments: list[str]) -> list[list[int]]:
         found: list = [None] * len(segments)
-        rest, tokenize, stops, symbols = [], self.model.tokenize, self.stops, self.symbols
+        rest, tokenize, symbols = [], self.model.tokenize, self.symbols
         for i, s in enumerate(segments):
-            if s.isascii():  # letters, and a stop or comma behind them, are pieces of the pattern that the model takes at once
+            if s.isascii():  # letters are one piece of the pattern, which the model takes at once
                 if s.isalpha():
                     found[i] = [t.id for t in tokenize(s.lower())]
                     continue
-                if s[-1] in stops and s[:-1].isalpha():
-                    found[i] = [t.id for t in tokenize(s[:-1].lower())] + stops[s[-1]]
-                    continue
             elif s.isalpha() and s.islower() and is_normalized("NFC", s):
                 found[i] = [t.id for t in tokenize("".join([symbols[b] for b in s.encode()]))]
                 continue
             rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
             found[i] = e.ids
-        self.ids.extend(*flat(found))
+        return found
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array."""
-        # the normalizer makes letters small: where that is plain, words are remembered so
+        # the normalizer makes letters small: where that is plain (it joins no marks to them before), words are remembered so
         special = pc.fill_null(pc.match_substring_regex(texts, "|".join(map(re.escape, self.special))), False) if self.special else pa.array(np.zeros(len(texts), bool))
-        small = pc.if_else(pc.and_(pc.fill_null(pc.string_is_ascii(texts), False), pc.invert(special)), pc.ascii_lower(texts), texts)
-        # a stop or comma between a letter and a space is a piece of its own: words are remembered without
-        apart = pc.replace_substring_regex(small, r"([A-Za-z])([.,])([ \n]|\z)", r"\1 \2\3")
-        words, sizes, uneven = even_words(pc.if_else(special, pa.scalar(None, texts.type), apart))
-        ids, lengths = self.ids.take(self.table.rows_of(words))
-        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))].tolist()
+        plain = pc.fill_null(pc.invert(pc.or_(special, pc.match_substring_regex(texts, r"\pM"))), False)
+        parts, counts, whole = even_parts(pc.if_else(plain, pc.ascii_lower(texts), texts), special, spaces=False)
+        ids, lengths = self.table.ids_of(parts)
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))].tolist()
         found = [ids[a:b] for a, b in zip(ends, ends[1:])]
-        self.table.settle()
-        for i in np.flatnonzero(uneven | special.to_numpy(zero_copy_only=False)).tolist():
+        for i in np.flatnonzero(whole).tolist():
             found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return found
 
@@ -95,13 +87,13 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) ->
 
     def run(batches):
         own = held(("pack", path), partial(WordEncoder, path))
-        for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
-                rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
-                    ids = np.append(ids, end_id).astype(kind)
-                    rows += [(doc, at, len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]
-                columns = zip(*rows)
+        for batch in gathered(batches, 1, GATHERED):
+            rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
+                ids = np.append(ids, end_id).astype(kind)
+                rows += [(doc, at, len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]
+            for at in range(0, len(rows), 1000):
+                columns = zip(*rows[at : at + 1000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), "doc_id long, start long, doc_tokens long, ids binary")

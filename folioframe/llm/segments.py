@@ -29,32 +29,22 @@ def words_of(text: str) -> list[str] | None:
 UNEVEN = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
-def even_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(all words one behind the other, the words of each text, whether its white space is not even: such a text gives none). Null and empty texts
-    have no words. As words_of(), for a batch at once."""
-    uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False)
-    none = pc.or_(uneven, pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
-    # marked before the mask: if_else with a null scalar mistakes the beginning of sliced strings
-    marked = pc.replace_substring(texts, "\n", " \n")
-    lists = pc.split_pattern(pc.if_else(none, pa.scalar(None, marked.type), marked), " ")
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten(), sizes, uneven.to_numpy(zero_copy_only=False)
-
-
 #: Stands between parts; a text with one of its own is not cut. Behind an ASCII letter, anything that is none and no space begins a new piece.
 BETWEEN, BEHIND_LETTER = "\0", r"([A-Za-z])([!-@\[-`{-~])"
 
 
-def even_parts(texts: pa.Array, apart: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def even_parts(texts: pa.Array, apart: pa.Array | None = None, spaces: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(all parts one behind the other, the parts of each text, whether it is to be taken whole: such a text gives none). Null and empty texts have no parts.
 
-    A part stands for itself: a word with the space before it, a line feed, what follows the letters of a word. Byte-level tokenizers with the usual pattern
-    begin a new piece with each, so that the parts' tokens are the text's. Taken whole are texts whose white space is not even and those of `apart`."""
+    A part stands for itself: a word with the space before it, a line feed, what follows the letters of a word. Tokenizers with the usual patterns
+    begin a new piece with each, so that the parts' tokens are the text's. For those that drop white space, parts are made without (`spaces`). Taken whole
+    are texts whose white space is not even and those of `apart`."""
     whole = pc.or_(pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False), pc.fill_null(pc.match_substring(texts, BETWEEN), False))
     whole = pc.or_(whole, apart) if apart is not None else whole
     none = pc.or_(whole, pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
     marked = pc.replace_substring_regex(texts, BEHIND_LETTER, rf"\1{BETWEEN}\2")
-    marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{BETWEEN} "), "\n", f"{BETWEEN}\n{BETWEEN}")
+    for space, given in ((" ", f"{BETWEEN} "), ("\n", f"{BETWEEN}\n{BETWEEN}")):
+        marked = pc.replace_substring(marked, space, given if spaces else BETWEEN)
     lists = pc.split_pattern(pc.if_else(none, pa.scalar(None, marked.type), marked), BETWEEN)
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return lists.flatten(), counts, whole.to_numpy(zero_copy_only=False)
@@ -116,12 +106,6 @@ class SegmentTable:
             self.chars += sum(map(len, fresh))
         return found
 
-    def rows_of(self, segments: pa.Array) -> np.ndarray:
-        """The numbers of the segments of a whole batch; each different one is looked up once."""
-        coded = segments.dictionary_encode()
-        (numbers,) = self.rows([coded.dictionary.to_pylist()])
-        return numbers[coded.indices.to_numpy()]
-
     def settle(self) -> None:
         """Between batches: goes back to the first segments when there are too many or too long ones."""
         if len(self.names) > self.kept or self.chars > self.kept * KEPT_CHARS:
@@ -155,9 +139,9 @@ class PartTable:
         return taken
 
     def settle(self) -> None:
-        """Goes back to the first parts, the frequent ones, when there are too many or too long ones."""
-        chars = pc.sum(pc.binary_length(self.known)).as_py() or 0
-        if len(self.known) > self.kept or chars > self.kept * KEPT_CHARS:
-            n = min(self.kept, len(self.known)) if chars <= self.kept * KEPT_CHARS else len(self.known) // 2
+        """Goes back to the first parts, the frequent ones, when there are too many or too long ones: to as many as both limits allow."""
+        sizes = pc.binary_length(self.known)
+        if len(self.known) > self.kept or (pc.sum(sizes).as_py() or 0) > self.kept * KEPT_CHARS:
+            n = min(self.kept, int(np.searchsorted(np.cumsum(sizes.to_numpy(), dtype=np.int64), self.kept * KEPT_CHARS, "right")))
             self.known = pa.concat_arrays([self.known.slice(0, n)])
             self.ids.cut(n)

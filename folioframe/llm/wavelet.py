@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_count import byte_symbols
-from .common import attempt_name, gathered, open_for_read, open_for_write, shared_path, written
+from .common import GATHERED, attempt_name, gathered, open_for_read, open_for_write, shared_path, written
 from .segments import PartTable, even_parts
 
 MAGIC = b"FOLIOWM1"
@@ -29,8 +29,6 @@ MAGIC = b"FOLIOWM1"
 BLOCK_BITS = 1 << 18
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 4_000_000
-#: Bytes of text that are encoded at once, at least.
-GATHERED = 8 << 20
 
 
 def build(ids: np.ndarray, levels: int) -> list[tuple[np.ndarray, int]]:

@@ -15,12 +15,15 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioframe.llm import ann, bpe_count, common, golay, segments, sharding, simhash, toxicity, unigram, warc, wavelet
+from folioframe.llm import ann, bpe_count, common, golay, packing, segments, sharding, simhash, toxicity, unigram, warc, wavelet
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = list("ab c\n\t\r  '’s're12½é漢字😀\x1c\x85​.,!_ABC") + ["<|endoftext|>", "  ", "'ll", "\n\n"]
 texts = st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join)
+#: Letters, marks, stops and even white space.
+words = st.lists(st.sampled_from(list("abWYIΣσéÉİß\u0301\u030a\u0338.,'!=>1 ") + [" a", " W", "\nb", " Σ", "<|ENDOFTEXT|>", "\0"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -99,11 +102,47 @@ def test_parts_are_encoded_once():
     assert sorted(seen) == sorted(["stone", " stone", ".", " (stone", ")", ",", "\n", "!"])
 
 
-def test_words_of_sliced_texts():
-    texts = pa.array(["zero é", "one\ntwo", None, "three ", "five six é", "ü seven", "x y"] * 9).slice(10, 40)
-    words, sizes, uneven = segments.even_words(texts)
-    want = [(segments.words_of(t) if t else None) or [] for t in texts.to_pylist()]
-    assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want)) and uneven.sum() == texts.to_pylist().count("three ")
+def test_parts_of_sliced_texts():
+    texts = pa.array(["zero é", "one\ntwo", None, "three ", "five. six é", "ü seven", "x y"] * 9).slice(10, 7)
+    parts, counts, whole = segments.even_parts(texts)
+    assert parts.to_pylist() == ["five", ".", " six", " é", "ü", " seven", "x", " y", "zero", " é", "one", "\n", "two"]
+    assert segments.even_parts(texts, spaces=False)[0].to_pylist() == ["five", ".", "six", "é", "ü", "seven", "x", "y", "zero", "é", "one", "two"]
+    assert counts.tolist() == [0, 4, 2, 2, 2, 3, 0] and whole.tolist() == [True, False, False, False, False, False, False]
+
+
+@cache
+def word_encoder_keeping(parts):
+    return packing.WordEncoder(WORDS, parts)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | texts | words, max_size=8), st.integers(0, 3), st.sampled_from([2, 1000]))
+def test_word_ids_of_batches(some, skipped, kept):
+    """As above for the words that are packed, with letters that marks are joined to and capitals whose small form depends on their place."""
+    own = word_encoder_keeping(kept)
+    got = own.encode(pa.array(["É first\none. two"] * skipped + some, pa.string()).slice(skipped))
+    assert [g.tolist() for g in got] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert len(own.table.known) <= kept
+
+
+def test_words_are_encoded_once():
+    """A word, whatever stands behind its letters, in front of it or in which case it is, goes to the library once."""
+    own, seen = packing.WordEncoder(WORDS), []
+    learn = own.table.learn
+    own.table.learn = lambda parts: seen.extend(parts) or learn(parts)
+    own.encode(pa.array(["Stone stone! STONE; stone\nstone: é", "stone?"]))
+    own.encode(pa.array(["é stone", None]))
+    assert sorted(seen) == sorted(["stone", "!", ";", ":", "é", "?"])
+
+
+def test_remembered_parts_are_bounded():
+    """By number and by bytes; a part that is longer than all that may be kept is not kept."""
+    table = segments.PartTable(lambda parts: [[len(p)] for p in parts], kept=3)
+    for parts, left in ((["a", "b" * 40, "c" * 40, "d"], ["a", "b" * 40]), (["e" * 9, "a", "f", "g"], ["a", "b" * 40, "e" * 9]), (["h"], ["a", "b" * 40, "e" * 9])):
+        ids, sizes = table.ids_of(pa.array(parts))
+        assert ids.tolist() == list(map(len, parts)) and set(sizes.tolist()) == {1} and table.known.to_pylist() == left
+    table = segments.PartTable(lambda parts: [[len(p)] for p in parts], kept=3)
+    assert table.ids_of(pa.array(["x" * 99, "a"]))[0].tolist() == [99, 1] and len(table.known) == 0
 
 
 def test_golay_keys():

@@ -62,8 +62,9 @@ def concat_columns(cells: DataFrame, annotations: DataFrame, keys: list[str], sk
     if skip_empty:
         kept = F.filter(kept, lambda x: (x != "") & (F.lower(x) != "nan"))
     else:
-        cells = cells.join(cells.filter(F.coalesce("text", F.lit("")) != "").select(*keys, "row").distinct(), [*keys, "row"], "left_semi")
-    return cells.join(placed, [*keys, "col"]).groupBy(*keys, "row", "item").agg(F.array_join(kept, " ").alias("truth"))
+        cells = cells.join(cells.filter(F.coalesce("text", F.lit("")) != "").select(*keys, "row").distinct().hint("merge"), [*keys, "row"], "left_semi")
+    # by the size of their files both sides look small; with a row for each item of each table neither may pass through the driver
+    return cells.join(placed.hint("merge"), [*keys, "col"]).groupBy(*keys, "row", "item").agg(F.array_join(kept, " ").alias("truth"))
 
 
 #: Which fields of a record make up each scored item.
@@ -84,7 +85,7 @@ def score_records(records: DataFrame, truths: DataFrame, keys: list[str], wrap_f
         whole = Window.partitionBy(*keys, "item").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         before = F.when(F.col("row") == 0, F.last("truth").over(whole)).otherwise(before)
     near = truths.select("*", before.alias("_before"), at("truth", 1).alias("_after"))
-    joined = asked.join(near, [*keys, "row", "item"])
+    joined = asked.join(near.hint("merge"), [*keys, "row", "item"])  # never through the driver: rows of all tables on both sides
     s = [F.coalesce(t.similarity(F.col("extracted"), F.col(c)), F.lit(-1.0)) for c in ("truth", "_before", "_after")]
     best = F.greatest(*s)
     truth = F.when(s[0] == best, F.col("truth")).when(s[1] == best, F.col("_before")).otherwise(F.col("_after"))

@@ -29,3 +29,10 @@ def test_documents_are_assembled_in_one_shuffle(spark):
 def test_documents_are_parsed_once(spark, name):
     df = registry.QUERIES[name](spark, SMOKE)
     assert exchanges(df) == 1 and parses(df) == 1
+
+
+def test_rows_of_all_tables_do_not_pass_through_the_driver(spark):
+    df = registry.QUERIES["extraction_evaluation"](spark, SMOKE)
+    assert "Broadcast" not in plan(df)
+    df.collect()
+    assert "Broadcast" not in plan(df)  # nor as they turn out to be small while the query runs

@@ -25,7 +25,7 @@ def test_documents_are_assembled_in_one_shuffle(spark):
     assert exchanges(registry.QUERIES["assembled_documents"](spark, SMOKE)) == 1
 
 
-@pytest.mark.parametrize("name", ["nested_pages", "flat_documents", "scanned_boxes", "scanned_cells", "scanned_rects"])
+@pytest.mark.parametrize("name", ["nested_pages", "flat_documents", "scanned_boxes", "scanned_cells", "scanned_grids", "scanned_rects"])
 def test_documents_are_parsed_once(spark, name):
     df = registry.QUERIES[name](spark, SMOKE)
     assert exchanges(df) == 1 and parses(df) == 1
@@ -36,3 +36,9 @@ def test_rows_of_all_tables_do_not_pass_through_the_driver(spark):
     assert "Broadcast" not in plan(df)
     df.collect()
     assert "Broadcast" not in plan(df)  # nor as they turn out to be small while the query runs
+
+
+def test_updated_documents_are_shuffled_once_and_by_name(spark):
+    found = re.findall(r"\bExchange hashpartitioning\((\w+)#\d+, \d+\)", plan(registry.QUERIES["updated_documents"](spark, SMOKE)))
+    # before the plan adapts, a shuffle that is used again stands twice; the names alone are shuffled apart
+    assert set(found) == {"file_name"} and exchanges(registry.QUERIES["updated_documents"](spark, SMOKE)) <= 4

@@ -42,3 +42,33 @@ def test_updated_documents_are_shuffled_once_and_by_name(spark):
     found = re.findall(r"\bExchange hashpartitioning\((\w+)#\d+, \d+\)", plan(registry.QUERIES["updated_documents"](spark, SMOKE)))
     # before the plan adapts, a shuffle that is used again stands twice; the names alone are shuffled apart
     assert set(found) == {"file_name"} and exchanges(registry.QUERIES["updated_documents"](spark, SMOKE)) <= 4
+
+
+def test_rounds_of_a_mixture_read_distinct_values(spark, monkeypatch):
+    from folioframe.operators import stats
+    from pyspark.ml.clustering import GaussianMixture
+
+    read, fit = [], GaussianMixture.fit
+    monkeypatch.setattr(GaussianMixture, "fit", lambda self, data, *a: read.append(data.count()) or fit(self, data, *a))
+    values = spark.range(3000).selectExpr("CAST(IF(id % 3 = 0, 10, 80) + id % 5 AS DOUBLE) AS x")
+    one, two = sorted(stats.mixtures(values, "x", 2).collect())
+    assert read == [10] and one.means == [pytest.approx(58.6667, abs=0.01)] and two.means == [pytest.approx(12, abs=0.2), pytest.approx(82, abs=0.2)]
+
+
+def test_tables_are_fitted_at_once_and_only_along_the_axis_asked_for(spark, monkeypatch):
+    import numpy as np
+    from folioframe.operators import lines
+
+    rng = np.random.default_rng(3)
+    lists = [np.unique(np.concatenate([y + rng.integers(-3, 3, 12) for y in range(10, 10 + 90 * n, 90)]), return_counts=True) for n in (1, 2, 4)]
+    width = max(len(v) for v, _ in lists)
+    values = np.array([np.pad(v.astype(float), (0, width - len(v)), "edge") for v, _ in lists])
+    counts = np.array([np.pad(n.astype(float), (0, width - len(n))) for _, n in lists])
+    for k in (1, 3, 5):
+        fits, means = lines.mixtures_of(values, counts, k)
+        for i, (v, n) in enumerate(lists):
+            fit, mean = lines.mixture(v.astype(float), n.astype(float), k)
+            assert fits[i] == pytest.approx(fit, abs=1e-6) and means[i] == pytest.approx(mean, abs=1e-6)
+    cells = lines.grid_cells(spark.createDataFrame([(k, 3, 2) for k in range(5)], "tab long, rows int, cols int"), "tab", fuzz=2)
+    only = lines.lines_of(cells, ["tab"], 6, axes=("y",)).collect()
+    assert {r.axis for r in only} == {"y"} and {(r.tab, len(r.lines)) for r in only} == {(k, 4) for k in range(5)}

@@ -80,18 +80,23 @@ def item_summary(scores: DataFrame, item: str, similarity: str) -> DataFrame:
 
 
 def mixtures(values: DataFrame, column: str, most: int, seed: int = 1) -> DataFrame:
-    """(k, aic, bic, means) of one-dimensional Gaussian mixtures of 1 to `most` components; the fits read all values."""
+    """(k, aic, bic, means) of one-dimensional Gaussian mixtures of 1 to `most` components. Values are counted first, once, and every round of a fit reads the
+    distinct values with their counts as weights."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     known = values.filter(F.col(column).isNotNull())
-    n, mean, variance = known.agg(F.count(F.lit(1)), F.avg(column), F.var_pop(column)).first()
+    value = F.col(column).cast("double")
+    counted = known.groupBy(value.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w")).orderBy(F.xxhash64("v")).persist()  # the order decides where a fit begins: by digests it is the same for all partitions
+    n, mean = counted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.sum(F.col("v") * F.col("w")) / F.sum("w")).first()
+    variance = counted.agg(F.sum(F.col("w") * (F.col("v") - F.lit(mean)) ** 2)).first()[0] / n if n else None
     # one component has a closed form
     fits = [(1, -n / 2 * (math.log(2 * math.pi * max(variance, 1e-12)) + 1), [mean])] if n else []
-    data = VectorAssembler(inputCols=[column], outputCol="features").transform(known).select("features")
+    data = VectorAssembler(inputCols=["v"], outputCol="features").transform(counted).select("features", "w")
     for k in range(2, most + 1 if n else 0):
-        model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data)
+        model = GaussianMixture(k=k, seed=seed, maxIter=50, weightCol="w").fit(data)
         fits.append((k, model.summary.logLikelihood, sorted(float(g.mean[0]) for g in model.gaussians)))
+    counted.unpersist()
     rows = [(k, 2.0 * (3 * k - 1) - 2 * fit, (3 * k - 1) * math.log(n) - 2 * fit, means) for k, fit, means in fits]
     return values.sparkSession.createDataFrame(rows, "k int, aic double, bic double, means array<double>")
 
